@@ -47,6 +47,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     hashes: np.ndarray  # uint64, a word each
     offsets: np.ndarray  # of the first word of each text, and the number of words
+    data: np.ndarray  # the joined bytes
+    starts: np.ndarray  # of each word in them
+    ends: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.offsets)
@@ -77,7 +80,7 @@ def hash_words(texts: Sequence[bytes | None], folded: bool = True) -> Words:
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
     h = (total[ends] - total[starts]) * inverse[starts]
-    return Words(mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), offsets)
+    return Words(mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), offsets, data, starts, ends)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
