@@ -131,6 +131,8 @@ def _travel(window: int, size: int, hot_at: int):
         for (part, words, key, is_hot, place, own_h), _ in zip(parts, base, strict=False):
             stays = later[at : at + len(place)]
             at += len(place)
+            if not len(place):
+                continue
             text = np.searchsorted(words.offsets, place, "right") - 1
             cut = np.ones(len(place), bool)
             cut[1:] = (place[1:] != place[:-1] + 1) | (text[1:] != text[:-1]) | (stays[1:] != stays[:-1])
