@@ -176,7 +176,7 @@ def _match_block(docs: DataFrame, text: str, tests: TestSet, drop: tuple[str, ..
             for k, (s, i, n, a) in enumerate(zip(*(batch.column(batch.schema.get_field_index(f.name)).to_pylist() for f in FIELDS[1:]), strict=True)):
                 spans[k], items[k], longest[k], start[k] = [(x["start"], x["end"]) for x in s], set(i), n, a
         cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+        for a, b in zip(cuts, np.append(cuts[1:], len(owner)), strict=False):
             k = int(owner[a])
             spans[k] = _merge(spans[k] + list(zip(at[a:b].tolist(), (at[a:b] + tests.sizes[hit[a:b]]).tolist(), strict=True)))
             items[k] |= frozenset().union(*(tests.items[w] for w in np.unique(hit[a:b])))
