@@ -77,8 +77,8 @@ def select(texts: list[bytes | None], y: np.ndarray, bits: int = BITS, most: int
     """By bucket the number of its feature, or -1: the buckets that tell the classes apart, at least `z` standard errors."""
     size = 1 << bits
     seen = np.zeros((2, size))
-    for i in range(0, len(texts), 200):
-        text, bucket = buckets_of(texts[i : i + 200], bits)
+    for i in range(0, len(texts), 100):
+        text, bucket = buckets_of(texts[i : i + 100], bits)
         both = np.unique(text * np.int64(size) + bucket)
         for label in (0, 1):
             own = both[y[i + both // size] == label] % size
@@ -105,8 +105,11 @@ def train(texts: list[bytes | None], labels: list[int], factors: int = FACTORS,
     bias, weight, vectors = float(np.log(share / (1 - share))), np.zeros(count), rng.normal(0, 0.05, (count, factors))
     if not count:
         return FactorizationMachine(feature, bias, np.zeros(1), np.zeros((1, factors)))
-    text, own = features(texts, feature)
-    bags = np.split(own, np.searchsorted(text, np.arange(1, len(texts))))
+    bags = []
+    for i in range(0, len(texts), 100):
+        some = texts[i : i + 100]
+        text, own = features(some, feature)
+        bags += np.split(own, np.searchsorted(text, np.arange(1, len(some))))
     rate, sum_b, sum_w, sum_v = 0.2, 1.0, np.full(count, 1.0), np.full((count, factors), 1.0)
     for _ in range(epochs):
         for i in rng.permutation(len(texts)):
