@@ -1,12 +1,16 @@
 """The corpus queries and, where SQL can state them, their SQL."""
 
-from threadlake.llm import contamination, exact, langid, neardup, substring, toxicity
+from threadlake.llm import contamination, exact, langid, lm, mixing, neardup, pii, quality, substring, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": contamination.op1_benchmark_decontamination,
     "op2_exact_dedup": exact.op2_exact_dedup,
     "op3_minhash_near_dedup": neardup.op3_minhash_near_dedup,
+    "op4_quality_classifier": quality.op4_quality_classifier,
+    "op5_pii": pii.op5_pii,
+    "op6_lm_scoring": lm.op6_lm_scoring,
     "op7_language_id": langid.op7_language_id,
+    "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring.op10_substring_dedup,
 }
