@@ -53,7 +53,7 @@ def content_view(texts: list[bytes | None]) -> np.ndarray:
     shape = _SHAPE[data].astype(np.uint64)
     if len(shape) > 2:
         gram = (shape[:-2] * np.uint64(65537) + shape[1:-1] * np.uint64(257) + shape[2:]) * np.uint64(0x9E3779B97F4A7C15)
-        owner = np.searchsorted(first, np.arange(len(gram)), "right") - 1
+        owner = np.repeat(np.arange(n), np.diff(first))[: len(gram)]
         out[:, half:] = np.bincount(owner * half + (gram >> np.uint64(54)).astype(np.int64), minlength=n * half).reshape(n, half)
     for part in (slice(0, half), slice(half, CONTENT)):
         out[:, part] = np.sqrt(out[:, part] / np.maximum(1, out[:, part].sum(axis=1, keepdims=True)))
@@ -103,15 +103,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 3e-3, steps: int = 120) -> Logistic:
+def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 3e-3, steps: int = 80) -> Logistic:
     """Accelerated gradient descent on the standardised features."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
-    z = (x - mean) / scale
+    z = ((x - mean) / scale).astype(np.float32)
     share = (y.sum() + 0.5) / (len(y) + 1)
     weight, bias = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
     # the largest curvature, by power iteration
-    v = np.ones(x.shape[1]) / np.sqrt(x.shape[1])
-    for _ in range(15):
+    y = y.astype(np.float32)
+    weight, v = weight.astype(np.float32), np.full(x.shape[1], x.shape[1] ** -0.5, np.float32)
+    for _ in range(10):
         v = z.T @ (z @ v)
         norm = float(np.linalg.norm(v)) or 1.0
         v /= norm
