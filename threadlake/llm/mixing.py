@@ -28,10 +28,13 @@ EVIDENCE = 50.0
 Model = tuple[list[str], dict[tuple[str, int], float], list[float]]
 
 
+def raw_words(text: Column) -> Column:
+    """Lower-cased runs of digits, letters and non-ASCII characters; empty strings may stand at the ends."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
+
+
 def word_list(text: Column) -> Column:
-    """Words with A-Z lower-cased: runs of digits, letters and non-ASCII characters."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.filter(F.split(low, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    return F.filter(raw_words(text), lambda w: w != "")
 
 
 def _bucket(word: Column) -> Column:
@@ -58,28 +61,28 @@ def fit_classifier(labelled: DataFrame, domain: str = "domain", text: str = "tex
     return names, weights, [math.log(sizes[d] / sum(sizes.values())) for d in names]
 
 
-def _content(text: str) -> list[Column]:
-    return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("__n")]
-
-
-def memberships(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(__h, __n, posterior) for each distinct text that has words; posterior is in the order of the domains.
+def with_posteriors(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Each row of `docs` with n_tokens (words) and posterior, an array in the order of the domains.
 
-    Words are looked up and averaged in the task that reads them, so one row for each text is shuffled. The
-    evidence of a long text counts as that of EVIDENCE words.
+    Nothing is shuffled: each row's words are looked up in a table that is a constant of the plan. The evidence of
+    a long text counts as that of EVIDENCE words; a text without words has the priors.
     """
     names, weights, priors = model
-    spark = docs.sparkSession
-    flat = ";".join(",".join(f"{weights[d, b]:.7g}" for d in names) for b in range(BUCKETS))
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(flat), ";")).alias("__b", "row"))
-    table = table.select("__b", *(F.get(F.split("row", ","), F.lit(k)).cast("double").alias(f"__w{k}") for k in range(len(names))))
-    words = docs.select(*_content(text), F.explode(word_list(F.col(text))).alias("__word")).select("__h", "__n", _bucket(F.col("__word")).alias("__b"))
-    means = words.join(F.broadcast(table), "__b").groupBy("__h", "__n").agg(*(F.avg(f"__w{k}").alias(f"__w{k}") for k in range(len(names))), F.count("*").alias("__words"))
-    logs = F.array(*(F.lit(priors[k]) + F.col(f"__w{k}") * F.least(F.col("__words").cast("double"), F.lit(EVIDENCE)) for k in range(len(names))))
-    out = means.select("__h", "__n", logs.alias("__logs"))
-    raw = out.select("__h", "__n", F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))).alias("__raw"))
+    d = len(names)
+    table = F.split(F.lit(",".join(f"{weights[x, b]:.7g}" for b in range(BUCKETS) for x in names)), ",").cast("array<double>")
+    out = docs.withColumn("__words", raw_words(F.col(text)))
+    empty = lambda at: F.when(F.element_at("__words", at) == "", 1).otherwise(0)
+    tokens = F.size("__words") - empty(1) - F.when(F.size("__words") > 1, empty(-1)).otherwise(0)
+    out = out.withColumn("n_tokens", tokens.cast("long")).withColumn("__b", F.transform("__words", lambda w: F.when(w == "", -1).otherwise(_bucket(w))))
+
+    def evidence(k: int) -> Column:
+        return F.aggregate("__b", F.lit(0.0), lambda a, b: a + F.coalesce(F.get(table, b * d + k), F.lit(0.0)))
+
+    share = F.least(F.col("n_tokens").cast("double"), F.lit(EVIDENCE)) / F.greatest(F.col("n_tokens"), F.lit(1))
+    out = out.withColumn("__logs", F.array(*(F.lit(priors[k]) + evidence(k) * share for k in range(d))))
+    out = out.withColumn("__raw", F.transform("__logs", lambda x: F.exp(x - F.array_max("__logs"))))
     total = F.aggregate("__raw", F.lit(0.0), lambda a, x: a + x)
-    return raw.select("__h", "__n", F.transform("__raw", lambda x: x / total).alias("posterior"))
+    return out.withColumn("posterior", F.transform("__raw", lambda x: x / total)).drop("__words", "__b", "__logs", "__raw")
 
 
 def _rate(history: list[list[float]]) -> Column:
@@ -110,46 +113,41 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
 
 
 def mix_sources(
-    docs: DataFrame, labelled: DataFrame, domain: str = "domain", weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7
+    docs: DataFrame, labelled: DataFrame, domain: str = "domain", weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, drop: tuple[str, ...] = ()
 ) -> DataFrame:
     """Each row of `docs` with n_tokens, posterior, rate (expected number of copies) and copies (a draw of it).
 
     `weights` gives each domain's share of the tokens; by default the square root of its share of the corpus,
     normed. The whole keeps its number of tokens. Texts without words belong to the domains by their priors and
     count no tokens. A null source is a source of its own; a null id draws as any other. Without labelled rows or
-    tokens every rate is the starting rate. Columns with the names of new ones are replaced.
+    tokens every rate is the starting rate. Columns with the names of new ones are replaced; those in `drop` are not
+    carried on.
     """
     model = fit_classifier(labelled, domain, text, doc_id)
-    names, _, priors = model
+    names = model[0]
     base = docs.drop("n_tokens", "posterior", "rate", "copies", "domains")
-    known = saved(memberships(base, model, text), "memberships") if names else None
-    light = base.select(*_content(text), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("__source"), F.size(word_list(F.col(text))).cast("double").alias("n_tokens"))
-    if known is None:
-        prior = F.array().cast("array<double>")
-        light = light.withColumn("posterior", prior)
+    if names:
+        scored = with_posteriors(base, model, text)
     else:
-        prior = F.array(*(F.lit(math.exp(x)) for x in priors))
-        light = light.join(known, ["__h", "__n"], "left").withColumn("posterior", F.coalesce("posterior", prior))
-    light = saved(light.select("__source", "n_tokens", "posterior"), "mixing")
-    by_source = light.groupBy("__source").agg(F.sum("n_tokens").alias("own"))
+        scored = base.withColumn("n_tokens", F.size(word_list(F.col(text))).cast("long")).withColumn("posterior", F.array().cast("array<double>"))
+    own = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    scored = saved(scored.withColumn("__source", own).drop(*drop), "mixing")
+    by_source = scored.groupBy("__source").agg(F.sum("n_tokens").alias("own"))
     whole = by_source.agg(F.sum("own").alias("all"), F.count(F.when(F.col("own") > 0, 1)).alias("sources")).first()
-    tokens, sources = whole["all"] or 0.0, max(whole["sources"], 1)
+    tokens, sources = float(whole["all"] or 0), max(whole["sources"], 1)
     start = by_source.select("__source", F.when(F.col("own") > 0, F.lit(tokens / sources) / F.col("own")).otherwise(F.lit(1.0)).alias("start"))
-    rows = light.join(start, "__source")
+    rows = scored.join(start, "__source")
     history: list[list[float]] = []
     if names and tokens:
         if weights is None:
-            shares = light.agg(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(len(names)))).first()
+            shares = scored.agg(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(len(names)))).first()
             weights = {n: math.sqrt(max(x or 0.0, 0.0)) for n, x in zip(names, shares, strict=True)}
         total = sum(weights.get(n, 0.0) for n in names) or 1.0
-        history = fit_rates(rows, [tokens * weights.get(n, 0.0) / total for n in names])
-    out = base.withColumns({"__h": _content(text)[0], "__n": _content(text)[1], "__source": F.coalesce(F.col(source).cast("string"), F.lit(""))})
-    out = out.withColumn("n_tokens", F.size(word_list(F.col(text))).cast("long"))
-    out = out.join(known, ["__h", "__n"], "left") if known is not None else out.withColumn("posterior", prior)
-    out = out.withColumn("posterior", F.coalesce("posterior", prior)).join(start, "__source").withColumn("rate", _rate(history))
+        history = fit_rates(rows.select("start", F.col("n_tokens").cast("double").alias("n_tokens"), "posterior"), [tokens * weights.get(n, 0.0) / total for n in names])
     u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    out = rows.withColumn("rate", _rate(history))
     out = out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
-    return out.withColumn("domains", F.array(*(F.lit(n) for n in names)).cast("array<string>")).drop("__h", "__n", "__source", "start")
+    return out.withColumn("domains", F.array(*(F.lit(n) for n in names)).cast("array<string>")).drop("__source", "start")
 
 
 def language_labels(docs: DataFrame) -> DataFrame:
@@ -159,5 +157,5 @@ def language_labels(docs: DataFrame) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    mixed = mix_sources(docs.select("doc_id", "text", "source"), language_labels(docs))
+    mixed = mix_sources(docs.select("doc_id", "text", "source"), language_labels(docs), drop=("text",))
     return mixed.select("doc_id", "source", "n_tokens", "domains", "posterior", "rate", "copies")
