@@ -41,8 +41,8 @@ def s01_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def k01_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch adds to a table under a unique key."""
-    e = v.table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 50).alias("k"))
-    return sinks.new_rows(e.filter("event_id % 2 = 1"), e.filter("event_id % 100 = 0"), ["event_type", "k"], "event_id").select("event_type", "k", "event_id")
+    e = v.table(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("k"))
+    return sinks.new_rows(e.filter("event_id % 2 = 1"), e.filter("event_id % 2 = 0"), ["event_type", "k"], "event_id").select("event_type", "k", "event_id")
 
 
 @query(
