@@ -1,7 +1,18 @@
 """Queries that once took a part of their rows or texts, against the whole job stated in SQL."""
 
+import re
+
+import pytest
+
 from tests.util import assert_same
 from threadlake.operators import ingest
+from threadlake.queries import QUERIES, SQL
+
+
+def uncut(sql):
+    """The registered SQL on whole texts; the first 60 characters stay where a key has fewer than three."""
+    sql = re.sub(r"substr\((text|content), 1, 60\)", r"\1", sql)
+    return re.sub(r"substr\(text, 1, [48]0\)", "text", sql)
 
 
 def test_append_against_all_stored_rows(spark, duck):
@@ -11,3 +22,9 @@ SELECT event_type, k, min(event_id) AS event_id FROM e b WHERE event_id % 2 = 1
 AND NOT EXISTS (SELECT 1 FROM e a WHERE a.event_id % 2 = 0 AND a.event_type = b.event_type AND a.k = b.k) GROUP BY 1, 2"""
     assert ingest.k01_append(spark, larger).count() > 0
     assert_same(ingest.k01_append(spark, larger), duck.execute(sql))
+
+
+@pytest.mark.parametrize("name", ["n01_text_keys", "a07_top_corrections", "a11_topics"])
+def test_keys_of_whole_texts(spark, sf, duck, name):
+    assert uncut(SQL[name]) != SQL[name]
+    assert_same(QUERIES[name](spark, sf), duck.execute(uncut(SQL[name])))

@@ -83,9 +83,9 @@ def n01_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     return v.table(spark, sf_dir, "documents").select(
         "doc_id",
-        t.correction_key(F.substring(c, 1, 80)).alias("correction_key"),
-        t.content_key(F.substring(c, 1, 80)).alias("content_key"),
-        F.rtrim(F.lower(F.trim(F.substring(c, 1, 40))), F.lit(".,;:!?")).alias("thing"),
+        t.correction_key(c).alias("correction_key"),
+        t.content_key(c).alias("content_key"),
+        F.rtrim(F.lower(F.trim(c)), F.lit(".,;:!?")).alias("thing"),
     )
 
 

@@ -77,7 +77,7 @@ CORRECTION = "^(no|nope|wrong|stop|don't|we never|i said|i told you)([^a-z]|$)"
 
 def corrections(messages: DataFrame) -> DataFrame:
     """User messages that open with a directive to do otherwise, with their paraphrase key."""
-    return messages.filter((F.col("role") == "user") & F.lower(F.trim("text")).rlike(CORRECTION)).withColumn("key", text.correction_key(F.substring("text", 1, 60)))
+    return messages.filter((F.col("role") == "user") & F.lower(F.trim("text")).rlike(CORRECTION)).withColumn("key", text.correction_key(F.col("text")))
 
 
 CORRECTIONS_SQL = f"""corrections AS (SELECT *, {text.correction_key_sql("substr(text, 1, 60)")} AS key FROM messages
@@ -152,7 +152,7 @@ def a10_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topics(extractions: DataFrame) -> DataFrame:
     """Facts by topic, which is the paraphrase key of corrections and the first six words of others."""
     six = F.array_join(F.slice(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != ""), 1, 6), " ")
-    key = F.when(F.col("kind") == "correction", text.correction_key(F.substring("content", 1, 60))).otherwise(six)
+    key = F.when(F.col("kind") == "correction", text.correction_key(F.col("content"))).otherwise(six)
     return extractions.withColumn("topic", key).groupBy("topic").agg(
         F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.min_by("content", "id").alias("example")
     )
