@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tests.util import assert_same
-from threadlake.operators import ingest
+from threadlake.operators import ingest, profiles
 from threadlake.queries import QUERIES, SQL
 
 
@@ -28,3 +28,15 @@ AND NOT EXISTS (SELECT 1 FROM e a WHERE a.event_id % 2 = 0 AND a.event_type = b.
 def test_keys_of_whole_texts(spark, sf, duck, name):
     assert uncut(SQL[name]) != SQL[name]
     assert_same(QUERIES[name](spark, sf), duck.execute(uncut(SQL[name])))
+
+
+def test_co_mentions_without_limit(spark, sf, duck):
+    whole = SQL["a25_co_mentions"].replace("count(*) BETWEEN 2 AND 5", "count(*) >= 2")
+    assert whole != SQL["a25_co_mentions"]
+    assert_same(QUERIES["a25_co_mentions"](spark, sf), duck.execute(whole))
+
+
+def test_mentions_of_names(spark):
+    texts = spark.createDataFrame([("p", "Engine, raptor-engine and engines; own p"), ("p", "the engine (c++)"), ("q", "p p P"), ("r", None)], "project string, text string")
+    names = spark.createDataFrame([("p", "p"), ("q", "engine"), ("q", "raptor-engine"), ("r", "own")], "project string, name string")
+    assert sorted(map(tuple, profiles.mentions(texts, names).collect())) == [("p", "q", 3, 1), ("p", "r", 1, 2), ("q", "p", 3, 1)]

@@ -136,6 +136,18 @@ def a24_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("term").agg(F.count("*").alias("sessions"), F.sum("k").cast("long").alias("n")).filter("sessions >= 2 AND n >= 4")
 
 
+def mentions(texts: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
+    """A25 by names: for each project of `texts` (project, text) the others of `names` (project, name) it mentions most.
+
+    Whole words, in any case; of a project's names the one with the most matches counts.
+    """
+    each = texts.select(F.col("project").alias("a"), "text").join(F.broadcast(names.toDF("b", "name")), F.col("a") != F.col("b"))
+    pattern = F.concat(F.lit("(?i)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
+    by_name = each.groupBy("a", "b", "name").agg(F.sum(F.regexp_count("text", pattern)).alias("n")).filter("n > 0")
+    n = by_name.groupBy("a", "b").agg(F.max("n").alias("n"))
+    return n.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("rank") <= most)
+
+
 @query(
     "a25_co_mentions",
     """WITH d AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
@@ -144,12 +156,12 @@ SELECT a, b, n, rank FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a ORD
   (SELECT x.source AS a, y.source AS b, count(*) AS n FROM d x JOIN r USING (term) JOIN d y USING (term) WHERE x.source <> y.source GROUP BY 1, 2)) WHERE rank <= 5""",
 )
 def a25_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source the five others it shares the most rare terms with.
+    """For each source the five others it shares the most terms with, however many sources share a term.
 
-    Terms of two to five sources are kept, so that a term makes at most twenty pairs.
+    Terms are counted by the set of sources that have them before pairs are made, so that a set makes its pairs once.
     """
     d = v.table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(t.words(F.col("text"), "[a-z]+"))).alias("term")).filter(F.length("term") >= 6).distinct()
-    rare = d.groupBy("term").agg(F.array_sort(F.collect_set("source")).alias("sources")).filter(F.size("sources").between(2, 5))
-    pairs = rare.select(F.explode("sources").alias("a"), "sources").select("a", F.explode("sources").alias("b")).filter("a <> b")
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    shared = d.groupBy("term").agg(F.array_sort(F.collect_set("source")).alias("sources")).filter(F.size("sources") > 1).groupBy("sources").agg(F.count("*").alias("n"))
+    pairs = shared.select(F.explode("sources").alias("a"), "sources", "n").select("a", F.explode("sources").alias("b"), "n").filter("a <> b")
+    n = pairs.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), "b"))).filter("rank <= 5")
