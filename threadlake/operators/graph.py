@@ -40,16 +40,21 @@ def e02_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges(v.messages(spark, sf_dir))
 
 
-def depths(messages: DataFrame, most: int = 10_000) -> DataFrame:
+def longest(nodes: DataFrame) -> int:
+    """Nodes of the largest session: no path has more, so pointers that are left after as many steps are in a cycle."""
+    return nodes.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def depths(messages: DataFrame) -> DataFrame:
     """Each node's distance from its root and the root, by doubling: after k rounds every pointer skips 2**k nodes.
 
-    A cycle has no root; its nodes are cut off after `most` steps and keep a null root.
+    A cycle has no root; its nodes are cut off after as many steps as the largest session has nodes and keep a null root.
     """
     nodes = eligible(messages).select("session_id", F.col("message_uuid").alias("node"), F.col("parent_uuid").alias("up"))
     ids = nodes.select("session_id", F.col("node").alias("up"), F.lit(1).alias("there"))
     state = nodes.join(ids, ["session_id", "up"], "left").select("session_id", "node", F.when(F.col("there").isNotNull(), F.col("up")).alias("up"), F.when(F.col("there").isNotNull(), 1).otherwise(0).alias("depth"))
     state = state.withColumn("root", F.when(F.col("up").isNull(), F.col("node")))
-    span = 1
+    span, most = 1, longest(nodes)
     while span < most:
         above = state.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
         state = state.join(above, ["session_id", "up"], "left").select(
@@ -78,11 +83,38 @@ def e04_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return depths(v.messages(spark, sf_dir))
 
 
-def linearised(messages: DataFrame) -> DataFrame:
-    """E05 for chains (one child each): position by order within the session; branches take the newest child."""
-    newest = W.partitionBy("session_id", "parent_uuid").orderBy(F.desc("ts"), F.desc("seq"))
-    main = eligible(messages).withColumn("child", F.row_number().over(newest)).filter("parent_uuid IS NULL OR child = 1")
-    return main.withColumn("position", F.row_number().over(W.partitionBy("session_id").orderBy("ts", "seq"))).select("session_id", "message_uuid", "position", "role")
+def linearised(messages: DataFrame, policy: str = "deepest", leaves: DataFrame | None = None) -> DataFrame:
+    """Each session's path from the root to one leaf, with positions from 1.
+
+    The leaf is the deepest (of equal ones the latest by ts, then seq), by the policy latest_ts the latest, or the one
+    that `leaves` (session_id, message_uuid) names; one that isn't there has no path. A leaf above which is a
+    cycle counts as depth 0, and its path ends where it would repeat; where no node is a leaf, any may be chosen.
+    """
+    nodes = eligible(messages).select("session_id", F.col("message_uuid").alias("node"), "parent_uuid", "ts", "seq", "role")
+    if leaves is None:
+        deep = F.when(F.col("root").isNotNull(), F.col("depth") + 1).otherwise(0)
+        found = edges(messages).select("session_id", F.col("message_uuid").alias("node"), "is_leaf")
+        late = [F.coalesce("ts", F.lit(0)), F.col("seq")]
+        if policy == "deepest":
+            found, late = found.join(depths(messages).withColumn("deep", deep), ["session_id", "node"]), [F.col("deep"), *late]
+        chosen = nodes.join(found, ["session_id", "node"]).groupBy("session_id").agg(F.max_by("node", F.struct("is_leaf", *late)).alias("node"))
+    else:
+        chosen = nodes.select("session_id", "node").join(leaves.toDF("session_id", "node"), ["session_id", "node"], "left_semi")
+    ids = nodes.select("session_id", F.col("node").alias("up"))
+    pointers = nodes.select("session_id", "node", F.col("parent_uuid").alias("up")).join(ids, ["session_id", "up"], "left_semi").checkpoint()
+    path = chosen.withColumn("steps", F.lit(0))  # the first 2**k nodes from the leaf after k rounds
+    span, most = 1, longest(nodes)
+    while span < most:
+        more = path.join(pointers, ["session_id", "node"]).select("session_id", F.col("up").alias("node"), (F.col("steps") + span).alias("steps"))
+        path = path.unionByName(more).groupBy("session_id", "node").agg(F.min("steps").alias("steps")).checkpoint()
+        above = pointers.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"))
+        pointers = pointers.join(above, ["session_id", "up"]).select("session_id", "node", F.col("up2").alias("up")).checkpoint()
+        span *= 2
+        if pointers.isEmpty():
+            break
+    last = path.groupBy("session_id").agg(F.max("steps").alias("last"))
+    out = path.join(last, "session_id").join(nodes, ["session_id", "node"])
+    return out.select("session_id", F.col("node").alias("message_uuid"), (F.col("last") - F.col("steps") + 1).alias("position"), "role")
 
 
 @query(
@@ -90,6 +122,9 @@ def linearised(messages: DataFrame) -> DataFrame:
     v.with_views("SELECT session_id, message_uuid, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS position, role FROM messages", v.MESSAGES_SQL),
 )
 def e05_linearised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from threadlake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
     return linearised(v.messages(spark, sf_dir))
 
 
