@@ -24,7 +24,7 @@ def dense(name):
 
 WHOLE = {
     "r02_bm25": lexical("r02_bm25", "documents", "doc_id", "text"),
-    "r03_search_facts": lexical("r03_search_facts", "extractions", "id", "content"),
+    "r03_search_facts": lexical("r03_search_facts", "extractions", "id", "content").replace("substr(text, 1, 500)", "text"),
     "r08_nearest": f"SELECT * REPLACE (distance + 0.0 AS distance) FROM ({dense('r08_nearest')})",  # no -0
     "r10_hybrid": dense("r10_hybrid"),
     "a28_retrieval_metrics": dense("a28_retrieval_metrics"),

@@ -114,7 +114,7 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("id"),
         _choice(kinds, F.col("doc_id") % 10).alias("kind"),
-        F.substring("text", 1, 500).alias("content"),
+        F.col("text").alias("content"),
         F.concat(F.lit("s"), (F.col("doc_id") % 97).cast("string")).alias("session_id"),
         "source",
         F.concat(F.lit("/proj/"), F.col("source")).alias("project_key"),
