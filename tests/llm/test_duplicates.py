@@ -82,7 +82,7 @@ def test_dart_signatures_estimate_similarity():
 
 
 def plain_classes(docs, least=0.8):
-    sets = [s.tolist() for s in neardup.shingle_sets([None if t is None else t.encode() for _, t in docs])]
+    sets = [neardup.units(b).tolist() for b in neardup.shingle_bags([None if t is None else t.encode() for _, t in docs])]
     root = list(range(len(docs)))
 
     def find(i):
@@ -121,7 +121,13 @@ def test_near_cases(spark):
     for _ in range(30):
         own = words(rng.randint(1, 120))
         docs += [" ".join(own), " ".join(edited(own, 1)), " ".join(own).upper() + "!"]
-    docs += [None, "", "...", "one", "One!", "two words"]
+    ring = words(160)
+    for k in range(60):  # each differs from the next in two words, from those farther on in more
+        ring[(k * 2) % 160], ring[(k * 2 + 1) % 160] = f"r{k}", f"s{k}"
+        docs.append(" ".join(ring))
+    line = " ".join(words(12))
+    docs += [" ".join([line] * 9), " ".join([line] * 10), " ".join([line] * 3)]
+    docs += [None, "", "...", "one", "One!", "two words", " ".join(words(30_000))]
     docs = list(enumerate(docs))
     df = spark.createDataFrame([(*r, "x") for r in docs], "doc_id long, text string, class_id string")
     marked = neardup.mark_near_duplicates(df, neardup.near_classes(df)).collect()
@@ -138,3 +144,36 @@ def test_near_cases(spark):
     wordless = 3
     assert again.count() == len(got) + wordless
     assert neardup.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_weights_are_counts():
+    one, three = neardup.shingle_bags([b"a b c d e", b"a b c d e f a b c d e g a b c d e"])
+    assert one[1].tolist() == [1] and max(three[1]) == 3
+    assert len(neardup.units(three)) == three[1].sum() == 13
+    bags = neardup.shingle_bags([b"a b c d e " * 30, b"a b c d e " * 60])
+    x, y = (neardup.units(b) for b in bags)
+    assert np.array_equal(bags[0][0], bags[1][0]) and 0.4 < neardup.similarity(x, y) < 0.6
+    a, b = neardup.dart_signatures([s for s, _ in bags], [c for _, c in bags])
+    assert abs((a == b).mean() - neardup.similarity(x, y)) < 0.1
+
+
+def test_near_recall(spark, sf):
+    """Links found over the given table, against all pairs; the bands may miss a few of just 0.8."""
+    from threadlake.llm.arrow import documents
+
+    docs = [(r.doc_id, r.text) for r in documents(spark, sf).collect()]
+    found = {r.doc_id: r.class_id for r in neardup.mark_near_duplicates(documents(spark, sf), neardup.near_classes(documents(spark, sf))).collect()}
+    sets = [set(neardup.units(b).tolist()) for b in neardup.shingle_bags([None if t is None else t.encode() for _, t in docs])]
+    links = [(docs[i][0], docs[j][0]) for i in range(len(docs)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    recall = sum(found[a] == found[b] for a, b in links) / max(1, len(links))
+    print(f"{len(links)} links, recall {recall:.4f}")
+    assert recall >= 0.98
+
+
+def test_near_null_ids_and_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text, "a", 1), (None, text + " x", "b", 2), (None, None, "c", 3), (5, text + " y", "d", 4), (5, text + " y", "e", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, set_id string, class_size int")
+    left = neardup.drop_near_duplicates(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == [(0, ""), (5, text + " y")]

@@ -72,18 +72,21 @@ def append_columns(
 
 
 def workdir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; /tmp/checkpoints where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder all executors share, from spark.checkpoint.dir; a local session that has none uses /tmp/checkpoints."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
 
 
 #: With this on, Spark removes a query's shuffle files when it ends instead of when the driver collects garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
+def saved(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{workdir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{folder or workdir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -93,6 +96,21 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Saved tables of one computation, removed when its result has been saved."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{workdir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def saved(self, df: DataFrame, label: str) -> DataFrame:
+        return saved(df, label, self.folder)
+
+    def remove(self) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def one_of_each(df: DataFrame, kept: str, repeated: str, key: Sequence[str], any_repeated: bool) -> DataFrame:
     """Rows whose `kept` is true; where several rows tie as the kept one (`repeated`), one of them.
 
