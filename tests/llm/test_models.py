@@ -59,10 +59,54 @@ def test_toxicity_learns_pairs():
     assert s[0] > 0.5 and s[1:].max() < 0.5
 
 
+def plain_scores(model, texts):
+    """The machine's scores, term by term and pair by pair."""
+    out = []
+    for bag in toxicity.bags_of(texts):
+        x = [f for f in model.feature[bag] if f >= 0]
+        s = sum(model.weight[f] for f in x)
+        pairs = sum(float(model.vectors[f] @ model.vectors[g]) for i, f in enumerate(x) for g in x[:i])
+        logit = model.bias + s + pairs * toxicity.TERMS / max(toxicity.TERMS, len(x))
+        out.append(1 / (1 + math.exp(-(model.slope * logit + model.shift))))
+    return out
+
+
+def drawn(rng, n, chance, first, second, label):
+    texts, y = [], []
+    for _ in range(n):
+        a, b = rng.random() < chance, rng.random() < chance
+        words = [f"word{k}" for k in rng.integers(0, 2000, 20)] + [f"{first[rng.integers(len(first))]}"] * a + [f"{second[rng.integers(len(second))]}"] * b
+        texts.append(" ".join(rng.permutation(words)).encode())
+        y.append(int(label(a, b)))
+    return texts, np.array(y)
+
+
+@pytest.mark.parametrize("case", ["either", "both"])
+def test_toxicity_of_pairs_alone(case):
+    """Exactly one of two words; one of twenty insults together with one of twenty groups: no term tells by itself."""
+    rng = np.random.default_rng(3)
+    first, second = (["alpha"], ["omega"]) if case == "either" else ([f"insult{k}" for k in range(20)], [f"group{k}" for k in range(20)])
+    chance, label = (0.5, lambda a, b: a != b) if case == "either" else (0.3, lambda a, b: a and b)
+    model = toxicity.train(*drawn(rng, 6000 if case == "either" else 8000, chance, first, second, label))
+    texts, y = drawn(rng, 1500, chance, first, second, label)
+    s = model.scores(texts)
+    assert (s[y == 1] >= 0.5).mean() > 0.9 and (s[y == 0] >= 0.5).mean() < 0.15
+    assert np.allclose(plain_scores(model, texts[:50]), s[:50])
+
+
+def test_one_label(spark):
+    rows = [(1, 0), (1, 1), (2, 0), (2, 0), (3, None), (None, 1)]
+    got = toxicity.one_label(spark.createDataFrame(rows, "doc_id long, toxic int"), "toxic").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 0)]
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame(ODD, "doc_id long, text string")
     model = toxicity.train([b"bad"] * 20 + [b"good"] * 20, [1] * 20 + [0] * 20)
     assert toxicity.score(df, model).count() == len(ODD)
+    clash = toxicity.score(df.selectExpr("doc_id", "text", "'x' AS score", "doc_id AS label", "text AS feature"), model)
+    assert clash.columns == ["doc_id", "text", "label", "feature", "score", "predicted"] and clash.count() == len(ODD)
+    assert toxicity.score(df.limit(0), model).count() == 0
     for rows in ([], [b"a"]):
         assert 0 < toxicity.train(rows, [1] * len(rows)).scores([None])[0] < 1
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadlake.llm.arrow import append_columns, as_bytes, documents, id_crc
+from threadlake.llm.toxicity import one_label, sigmoid
 from threadlake.llm.words import hash_words, word_spans
 
 CONTENT = 2048
@@ -99,10 +100,6 @@ class Logistic:
         return self.slope * self.logits(x) + self.offset
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def fit_logistic(x: np.ndarray, y: np.ndarray, decay: float = 3e-3, steps: int = 80) -> Logistic:
     """Accelerated gradient descent on the standardised features."""
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
@@ -160,18 +157,25 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, unlabelled: list[np.ndar
         model.views = [fit_logistic(np.concatenate([v, u[added]]), both) for v, u in zip(x, unlabelled, strict=True)]
         if turn == rounds or not len(free):
             break
-        # each view names its surest rows, for the other to learn from
+        # each view names its surest rows, for the other to learn from; rows that they name differently stay free
         taken: dict[int, float] = {}
+        disputed: set[int] = set()
+
+        def name(row: int, value: float, taken=taken, disputed=disputed) -> None:
+            if taken.setdefault(row, value) != value:
+                disputed.add(row)
+
         for m, u in zip(model.views, unlabelled, strict=True):
             s = sigmoid(m.logits(u[free]))
             order = np.argsort(s, kind="stable")
             up, down = round(growth * share), round(growth * (1 - share))
             for i in order[::-1][:up]:
                 if s[i] > 0.9:
-                    taken.setdefault(int(free[i]), 1.0)
+                    name(int(free[i]), 1.0)
             for i in order[:down]:
                 if s[i] < 0.1:
-                    taken.setdefault(int(free[i]), 0.0)
+                    name(int(free[i]), 0.0)
+        taken = {k: x for k, x in taken.items() if k not in disputed}
         added = np.concatenate([added, np.array(list(taken), np.int64)])
         label = np.concatenate([label, np.array(list(taken.values()))])
         free = np.setdiff1d(free, added)
@@ -208,7 +212,7 @@ def _sampled(rows: DataFrame, size: int) -> list:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = LABELLED, unlabelled: int = UNLABELLED, **options) -> CoTrained:
     """Co-trains on bounded samples of the rows of `docs` with and without a label."""
     own = docs.select("doc_id", "text", "source", "lang")
-    known = labels.filter(F.col(label).isNotNull()).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
+    known = one_label(labels, label).withColumnRenamed(label, "y")
     rows = _sampled(own.join(known, "doc_id"), labelled)
     others = _sampled(own.join(known, "doc_id", "left_anti"), unlabelled)
     return co_train(_views(rows), np.array([int(r["y"]) for r in rows], np.int64), _views(others), **options)
@@ -217,7 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: in
 def score(docs: DataFrame, model: CoTrained, drop: tuple[str, ...] = ()) -> DataFrame:
     """Each row of `docs` (with text, source and lang) with score, the chance of quality 1, and predicted (1 from 0.5 on).
 
-    Null texts count as empty, null sources and languages as values of their own.
+    Null texts count as empty, null sources and languages as values of their own. Whole texts of any length are read;
+    repeated rows get equal scores; an empty table stays empty. Columns of `docs` named score or predicted are
+    replaced, all others are carried on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
@@ -226,7 +232,7 @@ def score(docs: DataFrame, model: CoTrained, drop: tuple[str, ...] = ()) -> Data
         column = lambda n: batch.column(batch.schema.get_field_index(n))
         texts, sources, langs = as_bytes(column("text")), column("source").to_pylist(), column("lang").to_pylist()
         s = np.concatenate(
-            [shared.value.scores([content_view(texts[i : i + 100]), metadata_view(texts[i : i + 100], sources[i : i + 100], langs[i : i + 100])]) for i in range(0, len(texts), 100)]
+            [np.zeros(0)] + [shared.value.scores([content_view(texts[i : i + 100]), metadata_view(texts[i : i + 100], sources[i : i + 100], langs[i : i + 100])]) for i in range(0, len(texts), 100)]
         )
         return [pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())]
 
@@ -234,6 +240,7 @@ def score(docs: DataFrame, model: CoTrained, drop: tuple[str, ...] = ()) -> Data
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out (its label is not learned from), score, predicted."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang", (F.pmod(id_crc(), F.lit(5)) == 1).alias("held_out"))
     model = fit(docs.filter("NOT held_out"), documents(spark, sf_dir, "labels"))
     return score(docs, model, ("text", "source", "lang")).select("doc_id", "held_out", "score", "predicted")
