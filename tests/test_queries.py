@@ -13,4 +13,4 @@ def test_query(spark, sf, duck, name):
     if name in SQL:
         assert_same(df, duck.execute(SQL[name]))
     else:
-        assert df.count() >= 0
+        assert df.count() > 0 or name == "r07_backfill"  # every fact of the smallest table has a vector

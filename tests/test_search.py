@@ -1,4 +1,4 @@
-"""Searches over their whole query sets, against the registered SQL with the sets put in place of the cut ones."""
+"""Searches in blocks of any size, with filters, and the plan that keeps k rows of each task."""
 
 import pytest
 
@@ -6,33 +6,31 @@ from tests.util import assert_same
 from threadlake.operators import search
 from threadlake.queries import QUERIES, SQL
 
-VECTORS = "c AS (SELECT vec_id AS query_id, label AS wanted, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0)"
-DENSE = f"{VECTORS},\n" + search.DENSE_SQL[search.DENSE_SQL.index("dense AS (") :].replace("FROM embeddings, c", "FROM embeddings e, c")
 
+@pytest.mark.parametrize("name", ["a28_retrieval_metrics", "r02_bm25", "r03_search_facts", "r08_nearest", "r10_hybrid"])
+def test_small_blocks(spark, sf, duck, monkeypatch, name):
+    monkeypatch.setattr(search, "BLOCK", 300)
+    assert_same(QUERIES[name](spark, sf), duck.execute(SQL[name]))
 
-def lexical(name, table, row_id, text):
-    whole = f"queries AS (SELECT {row_id} AS query_id, {text} AS query FROM {table} WHERE {row_id} % 50 = 0)"
-    return SQL[name].replace(search.QUERIES_SQL, whole)
 
+def test_each_task_keeps_its_own_best(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS query_id", "id AS item", "rand(1) AS x")
+    from pyspark.sql import functions as F
 
-def dense(name):
-    sql = SQL[name].replace(search.DENSE_SQL, DENSE)
-    sql = sql.replace("SELECT label AS query_id, vec_id, row_number() OVER (PARTITION BY label ", "SELECT c.query_id, x.vec_id, row_number() OVER (PARTITION BY c.query_id ")
-    sql = sql.replace("FROM extractions JOIN embeddings ON vec_id = id QUALIFY", "FROM extractions JOIN embeddings x ON x.vec_id = id JOIN c ON c.wanted = x.label QUALIFY")
-    return sql.replace("label = query_id", "label = wanted").replace("FROM r JOIN embeddings USING (vec_id)", "FROM r JOIN embeddings USING (vec_id) JOIN c USING (query_id)")
+    plan = search.top(rows, 3, F.col("x"))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
 
 
-WHOLE = {
-    "r02_bm25": lexical("r02_bm25", "documents", "doc_id", "text"),
-    "r03_search_facts": lexical("r03_search_facts", "extractions", "id", "content").replace("substr(text, 1, 500)", "text"),
-    "r08_nearest": f"SELECT * REPLACE (distance + 0.0 AS distance) FROM ({dense('r08_nearest')})",  # no -0
-    "r10_hybrid": dense("r10_hybrid"),
-    "a28_retrieval_metrics": dense("a28_retrieval_metrics"),
-}
+def test_filters(spark):
+    rows = [(1, "/p/a", "ban", 5), (2, "/p/a", "goal", 9), (3, "/p/a/.worktrees/x", "ban", 9), (4, None, "ban", None)]
+    df = spark.createDataFrame(rows, "id int, project_key string, kind string, ts int")
+    ids = lambda **f: sorted(r.id for r in search.filtered(df, **f).collect())
+    assert ids() == [1, 2, 3, 4]
+    assert ids(cwd="/p/a/.worktrees/x") == [1, 2] and ids(cwd="/p/a/.worktrees/x", exact=True) == [3]
+    assert ids(kinds=["ban"], since=6) == [3] and ids(since=0) == [1, 2, 3]
 
 
-@pytest.mark.parametrize("block", [search.BLOCK, 300])
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_query_sets(spark, sf, duck, monkeypatch, name, block):
-    monkeypatch.setattr(search, "BLOCK", block)
-    assert_same(QUERIES[name](spark, sf), duck.execute(WHOLE[name]))
+def test_merged_keeps_the_first_list(spark):
+    lists = [spark.createDataFrame([(1, x, i) for i, x in enumerate(xs)], "query_id int, item int, position int") for xs in ([5, 3], [3, 9, 5, 7])]
+    got = search.merged(*lists, "item", 3).orderBy("position").collect()
+    assert [(r.item, r.position) for r in got] == [(5, 0), (3, 1), (9, 2)]

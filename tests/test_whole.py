@@ -1,18 +1,8 @@
 """Queries that once took a part of their rows or texts, against the whole job stated in SQL."""
 
-import re
-
-import pytest
-
 from tests.util import assert_same
 from threadlake import views
 from threadlake.operators import ingest, profiles
-from threadlake.queries import QUERIES, SQL
-
-
-def uncut(sql):
-    """The registered SQL on whole texts; the first 60 characters stay where a key has fewer than three."""
-    return re.sub(r"substr\((text|content), 1, [0-9]+\)", r"\1", sql)
 
 
 def test_append_against_all_stored_rows(spark, duck):
@@ -24,18 +14,6 @@ AND NOT EXISTS (SELECT 1 FROM e a WHERE a.event_id % 2 = 0 AND a.event_type = b.
     assert_same(ingest.k01_append(spark, larger), duck.execute(sql))
 
 
-@pytest.mark.parametrize("name", ["n01_text_keys", "a07_top_corrections", "a11_topics"])
-def test_keys_of_whole_texts(spark, sf, duck, name):
-    assert uncut(SQL[name]) != SQL[name]
-    assert_same(QUERIES[name](spark, sf), duck.execute(uncut(SQL[name])))
-
-
-def test_co_mentions_without_limit(spark, sf, duck):
-    whole = SQL["a25_co_mentions"].replace("count(*) BETWEEN 2 AND 5", "count(*) >= 2")
-    assert whole != SQL["a25_co_mentions"]
-    assert_same(QUERIES["a25_co_mentions"](spark, sf), duck.execute(whole))
-
-
 def test_mentions_of_names(spark):
     texts = spark.createDataFrame([("p", "Engine, raptor-engine and engines; own p"), ("p", "the engine (c++)"), ("q", "p p P"), ("r", None)], "project string, text string")
     names = spark.createDataFrame([("p", "p"), ("q", "engine"), ("q", "raptor-engine"), ("r", "own")], "project string, name string")
@@ -45,8 +23,3 @@ def test_mentions_of_names(spark):
 def test_extractions_hold_whole_texts(spark, sf, duck):
     got = dict(map(tuple, views.extractions(spark, sf).select("id", "content").collect()))
     assert got == dict(duck.execute("SELECT doc_id, text FROM documents").fetchall())
-
-
-@pytest.mark.parametrize("name", ["uset3_hit_dedup", "a16_top_topics", "uset5_scope_delta", "m07_rerank"])
-def test_queries_of_whole_extractions(spark, sf, duck, name):
-    assert_same(QUERIES[name](spark, sf), duck.execute(uncut(SQL[name])))

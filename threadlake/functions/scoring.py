@@ -7,20 +7,56 @@ from pyspark.sql import functions as F
 
 # Priority of a fact's kind in ranking; what isn't listed counts 0.6.
 KIND_PRIORITY = {
-    "standing_decision": 1.0,
+    "correction": 1.0,
     "ban": 1.0,
     "decision": 0.9,
-    "correction": 0.9,
-    "model_correction": 0.9,
-    "goal": 0.8,
-    "preference": 0.8,
-    "domain_fact": 0.7,
-    "progress": 0.5,
+    "goal": 0.85,
+    "self_correction": 0.75,
+    "truth_assertion": 0.75,
+    "progress": 0.7,
+    "domain_fact": 0.6,
+    "model_correction": 0.6,
     "away_summary": 0.5,
 }
-# US dollars for a million tokens, input and output, by model family, in order of precedence.
-RATES = {"opus": (15.0, 75.0), "sonnet": (3.0, 15.0), "haiku": (0.8, 4.0), "gpt-5": (1.25, 10.0), "gemini": (1.25, 10.0)}
-DEFAULT_RATE = (3.0, 15.0)
+# By how much a dense hit of a kind comes nearer; what isn't listed 0.02.
+DENSE_BOOST = {
+    "correction": 0.14,
+    "ban": 0.14,
+    "decision": 0.12,
+    "goal": 0.10,
+    "self_correction": 0.08,
+    "truth_assertion": 0.08,
+    "progress": 0.06,
+    "domain_fact": 0.0,
+    "model_correction": 0.04,
+    "away_summary": 0.0,
+}
+# US dollars for a million tokens, input and output, by model or family.
+RATES = {
+    "haiku": (0.80, 4.00),
+    "sonnet": (3.00, 15.00),
+    "opus": (15.00, 75.00),
+    "claude-haiku-4-5-20251001": (1.00, 5.00),
+    "claude-sonnet-4-6": (3.00, 15.00),
+    "claude-opus-4-7": (15.00, 75.00),
+    "gpt-5": (1.25, 10.00),
+    "gpt-5-mini": (0.25, 2.00),
+    "gpt-5-nano": (0.05, 0.40),
+    "o3": (10.00, 40.00),
+    "o4-mini": (2.50, 10.00),
+    "gemini-2.5-pro": (1.00, 10.00),
+    "gemini-2.5-flash": (0.30, 2.50),
+    "gemini-2.5-flash-lite": (0.10, 0.40),
+    "gemini-pro": (1.00, 10.00),
+    "default": (3.00, 15.00),
+}
+# Families of each provider, the more specific first, and how its models are recognised.
+FAMILIES = {
+    "anthropic": ["haiku", "sonnet", "opus"],
+    "openai": ["gpt-5-nano", "gpt-5-mini", "gpt-5", "o4-mini", "o3"],
+    "google": ["gemini-2.5-flash-lite", "gemini-2.5-flash", "gemini-2.5-pro", "gemini-pro"],
+}
+PROVIDERS = {"anthropic": "claude|haiku|sonnet|opus", "openai": "gpt-|^gpt|^o3|^o4", "google": "gemini"}
 CACHE_READ, CACHE_CREATE = 0.10, 1.25
 
 
@@ -50,20 +86,25 @@ KIND_PRIORITY_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K
 
 def decayed(base: Column, days: Column, times: Column) -> Column:
     """Confidence halved every 90 days, raised for repeated statements by at most half."""
+    days, times = F.greatest(F.lit(0.0), days), F.greatest(F.lit(0), times)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), base * F.pow(F.lit(0.5), days / 90.0) * F.least(1 + 0.2 * F.log(1 + times), F.lit(1.5))))
 
 
-QUALITY = {"explicit": 4, "observed": 3, "inferred": 2, "guess": 1}
+# How far a source of claims can be trusted; an unknown one like an inference.
+SOURCE_QUALITY = {"explicit_user_assertion": 4, "git_config_or_claude_md": 3, "inferred_from_mention": 2, "quoted_or_hypothetical": 1}
+
 
+def conflict(old_quality: Column, new_quality: Column, old_category: Column, new_category: Column, evidence: Column) -> Column:
+    """What becomes of a stored value when another is claimed.
 
-def conflict(old_quality: Column, new_quality: Column, same: Column, old_confidence: Column, new_confidence: Column) -> Column:
-    """What becomes of a stored value when another is claimed."""
+    Claims of different categories coexist; a worse source never wins; one as good needs two pieces of evidence.
+    """
+    apart = F.coalesce((old_category != "") & (new_category != "") & (old_category != new_category), F.lit(False))
     return (
-        F.when(same, "coexist")
-        .when(new_quality > old_quality, "supersede")
+        F.when(apart, "coexist")
         .when(new_quality < old_quality, "keep_old")
-        .when(new_confidence > old_confidence, "supersede")
-        .otherwise("tentative")
+        .when((F.coalesce(evidence, F.lit(1)) < 2) & (new_quality <= old_quality), "tentative")
+        .otherwise("supersede")
     )
 
 
@@ -91,26 +132,44 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (norm(a) * norm(b))
 
 
-def _rates(model: Column, at: int) -> Column:
+def provider(model: Column) -> Column:
+    """Whose model it is, by its name."""
+    low, out = F.lower(F.trim(model)), None
+    for name, pattern in PROVIDERS.items():
+        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
+    return out.otherwise("unknown")
+
+
+def _rate(model: Column, at: int, own: dict[str, tuple[float, float]]) -> Column:
+    low, whose = F.lower(F.trim(model)), provider(model)
+    tests = [(low == k, x) for k, x in {**RATES, **own}.items()]
+    for name, families in FAMILIES.items():
+        tests += [(whose.isin(name, "unknown") & low.contains(f), own.get(f, RATES[f])) for f in families]
     out = None
-    for family, rate in RATES.items():
-        test = F.lower(model).contains(family)
+    for test, rate in tests:
         out = F.when(test, rate[at]) if out is None else out.when(test, rate[at])
-    return out.otherwise(DEFAULT_RATE[at])
+    return out.otherwise(own.get("default", RATES["default"])[at])
+
 
+def cost(model: Column, fresh: Column, read: Column, created: Column, output: Column, own: dict[str, tuple[float, float]] | None = None) -> Column:
+    """Dollars: the rate of the exact model, else of its provider's first family in the name, else the default one.
 
-def cost(model: Column, fresh: Column, read: Column, created: Column, output: Column) -> Column:
-    """Dollars; the first family found in the model's name sets the rate, and only Anthropic bills cache writes more."""
-    create = F.when(F.lower(model).rlike("claude|opus|sonnet|haiku"), CACHE_CREATE).otherwise(1.0)
-    return (_rates(model, 0) * (fresh + read * CACHE_READ + created * create) + _rates(model, 1) * output) / 1e6
+    Rates of one's `own` come before the fixed ones at either step. Only Anthropic bills cache writes more.
+    """
+    own = {k.lower(): x for k, x in (own or {}).items()}
+    create = F.when(provider(model).isin("openai", "google"), 1.0).otherwise(CACHE_CREATE)
+    return (_rate(model, 0, own) * (fresh + read * CACHE_READ + created * create) + _rate(model, 1, own) * output) / 1e6
 
 
 def _rates_sql(at: int) -> str:
-    return "CASE " + " ".join(f"WHEN lower(model) LIKE '%{f}%' THEN {r[at]}" for f, r in RATES.items()) + f" ELSE {DEFAULT_RATE[at]} END"
+    exact = " ".join(f"WHEN lower(trim(model)) = '{k}' THEN {r[at]}" for k, r in RATES.items())
+    families = " ".join(f"WHEN whose IN ('{p}', 'unknown') AND contains(lower(model), '{f}') THEN {RATES[f][at]}" for p, fs in FAMILIES.items() for f in fs)
+    return f"CASE {exact} {families} ELSE {RATES['default'][at]} END"
 
 
+PROVIDER_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(model)), '{p}') THEN '{k}'" for k, p in PROVIDERS.items()) + " ELSE 'unknown' END"
 COST_SQL = (
-    f"(({_rates_sql(0)}) * (input_tokens + cache_read_tokens * {CACHE_READ} + cache_creation_tokens * CASE WHEN regexp_matches(lower(model), 'claude|opus|sonnet|haiku') THEN {CACHE_CREATE} ELSE 1.0 END)"
+    f"(({_rates_sql(0)}) * (input_tokens + cache_read_tokens * {CACHE_READ} + cache_creation_tokens * CASE WHEN whose IN ('openai', 'google') THEN 1.0 ELSE {CACHE_CREATE} END)"
     f" + ({_rates_sql(1)}) * output_tokens) / 1e6"
 )
 

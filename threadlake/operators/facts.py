@@ -246,45 +246,74 @@ def merged(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 @query(
     "m04_conflicts",
     v.with_views(
-        """SELECT a.seq, CASE WHEN a.strength = b.strength THEN 'coexist' WHEN b.q > a.q THEN 'supersede' WHEN b.q < a.q THEN 'keep_old' WHEN b.value > a.value THEN 'supersede' ELSE 'tentative' END AS outcome
+        """SELECT a.seq, CASE WHEN a.strength <> '' AND b.strength <> '' AND a.strength <> b.strength THEN 'coexist' WHEN b.q < a.q THEN 'keep_old' WHEN b.seq % 3 + 1 < 2 AND b.q <= a.q THEN 'tentative' ELSE 'supersede' END AS outcome
 FROM (SELECT *, seq % 4 + 1 AS q FROM claims) a JOIN (SELECT *, seq % 4 + 1 AS q FROM claims) b ON b.seq = a.seq + 1""",
         CLAIMS_SQL,
     ),
 )
 def m04_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a new claim does to the one before it."""
-    c = claims(spark, sf_dir).select("seq", "strength", "value", (F.col("seq") % 4 + 1).alias("q"))
-    new = c.select((F.col("seq") - 1).alias("seq"), F.col("strength").alias("s2"), F.col("value").alias("v2"), F.col("q").alias("q2"))
-    outcome = scoring.conflict(F.col("q"), F.col("q2"), F.col("strength") == F.col("s2"), F.col("value"), F.col("v2"))
+    c = claims(spark, sf_dir).select("seq", "strength", (F.col("seq") % 4 + 1).alias("q"))
+    new = c.select((F.col("seq") - 1).alias("seq"), F.col("strength").alias("s2"), F.col("q").alias("q2"), (F.col("seq") % 3 + 1).alias("evidence"))
+    outcome = scoring.conflict(F.col("q"), F.col("q2"), F.col("strength"), F.col("s2"), F.col("evidence"))
     return c.join(new, "seq").select("seq", outcome.alias("outcome"))
 
 
-def reinject(state: DataFrame, cap: int = 6) -> DataFrame:
-    """Whether to inject context again: a hard reason, or two of four soft ones, unless suppressed or capped."""
-    hard = F.col("after_compaction") | F.col("escalated") | F.col("scope_changed")
-    soft = sum((F.col(c).cast("int") for c in ("stale", "long_turn", "many_tools", "new_topic")), F.lit(0))
-    blocked = (F.col("injections") >= cap) | F.col("just_injected") | F.col("trivial_prompt")
-    return state.withColumn("inject", ~blocked & (hard | (soft >= 2)))
+# From which risk on a reason is hard or soft, and how many injections a session gets at most.
+HARD_RISK, SOFT_RISK, INJECTIONS = 5, 3, 6
+RECALL_PHRASES = r"\b(remember when|we (?:already|just)|didn'?t (?:we|you)|like (?:i|you) said|as (?:i|you) (?:mentioned|said)|last time|previously)\b"
+
+
+def reinject(state: DataFrame) -> DataFrame:
+    """Whether to inject context again, and why: never beyond the cap; for a hard reason always; else, unless suppressed, for two soft ones."""
+    c = F.col
+    hard = (c("risk") >= HARD_RISK) | c("repetition") | (c("post_compact") & c("known")) | F.lower("last_user").rlike(RECALL_PHRASES) | (c("moved") & c("known"))
+    fresh = (c("since_seconds") < 300) & (c("since_turns") <= 2)
+    steady = (c("streak") >= 4) & (c("risk") <= 1)
+    loop = c("tool_heavy") & (c("risk") <= 2)
+    signs = (c("risk") >= SOFT_RISK, (c("silence") > 600) & (c("since_turns") > 5), c("since_turns") > 20, (c("draft_words") > 200) & (c("risk") >= 2))
+    soft = sum((F.when(x, 1).otherwise(0) for x in signs), F.lit(0))
+    reason = (
+        F.when(c("injections") >= INJECTIONS, "session_cap")
+        .when(hard, "hard")
+        .when(fresh, "cache_fresh")
+        .when(steady, "steady_state")
+        .when(loop, "tool_loop")
+        .when(soft >= 2, "soft")
+        .otherwise("too_little")
+    )
+    return state.withColumn("reason", reason).withColumn("inject", F.col("reason").isin("hard", "soft"))
+
+
+# The state of a turn, by rules from the message's number and text: the given tables hold no such log.
+_STATE = {
+    "risk": "seq % 7",
+    "repetition": "seq % 11 = 0",
+    "post_compact": "seq % 5 = 0",
+    "moved": "seq % 6 = 0",
+    "known": "seq % 3 = 0",
+    "since_seconds": "seq % 13 * 60",
+    "since_turns": "seq % 29",
+    "streak": "seq % 6",
+    "tool_heavy": "seq % 4 = 0",
+    "silence": "seq % 17 * 60",
+    "draft_words": "seq % 300",
+    "injections": "seq % 8",
+}
 
 
 @query(
     "g16_reinjection",
-    """SELECT event_id, NOT (user_id % 9 >= 6 OR event_id % 6 = 0 OR event_id % 10 = 3) AND (event_type = 'error' OR event_id % 11 = 0 OR event_id % 13 = 0
-  OR CAST(event_id % 2 = 0 AS INT) + CAST(event_id % 3 = 0 AS INT) + CAST(event_id % 5 = 0 AS INT) + CAST(event_id % 7 = 0 AS INT) >= 2) AS inject FROM events""",
+    v.with_views(
+        f"""SELECT message_uuid, reason, reason IN ('hard', 'soft') AS inject FROM (SELECT message_uuid, CASE WHEN injections >= {INJECTIONS} THEN 'session_cap'
+  WHEN risk >= {HARD_RISK} OR repetition OR (post_compact AND known) OR regexp_matches(lower(text), '{RECALL_PHRASES.replace("'", "''")}') OR (moved AND known) THEN 'hard'
+  WHEN since_seconds < 300 AND since_turns <= 2 THEN 'cache_fresh' WHEN streak >= 4 AND risk <= 1 THEN 'steady_state' WHEN tool_heavy AND risk <= 2 THEN 'tool_loop'
+  WHEN CAST(risk >= {SOFT_RISK} AS INT) + CAST(silence > 600 AND since_turns > 5 AS INT) + CAST(since_turns > 20 AS INT) + CAST(draft_words > 200 AND risk >= 2 AS INT) >= 2 THEN 'soft' ELSE 'too_little' END AS reason
+FROM (SELECT *, {", ".join(f"{x} AS {k}" for k, x in _STATE.items())} FROM messages WHERE role = 'user'))""",
+        v.MESSAGES_SQL,
+    ),
 )
 def g16_reinjection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("event_id")
-    state = v.table(spark, sf_dir, "events").select(
-        "event_id",
-        (F.col("user_id") % 9).alias("injections"),
-        (i % 6 == 0).alias("just_injected"),
-        (i % 10 == 3).alias("trivial_prompt"),
-        (F.col("event_type") == "error").alias("escalated"),
-        (i % 11 == 0).alias("after_compaction"),
-        (i % 13 == 0).alias("scope_changed"),
-        (i % 2 == 0).alias("stale"),
-        (i % 3 == 0).alias("long_turn"),
-        (i % 5 == 0).alias("many_tools"),
-        (i % 7 == 0).alias("new_topic"),
-    )
-    return reinject(state).select("event_id", "inject")
+    """G16 over the users' messages, with a state derived from their numbers."""
+    state = v.messages(spark, sf_dir).filter("role = 'user'").select("message_uuid", F.col("text").alias("last_user"), *(F.expr(x).alias(k) for k, x in _STATE.items()))
+    return reinject(state).select("message_uuid", "reason", "inject")

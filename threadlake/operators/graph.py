@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from threadlake import views as v
-from threadlake.functions import text as t
+from threadlake.operators import extract
 from threadlake.queries import query
 
 
@@ -144,22 +144,23 @@ def _role_after(column: str, role: str, within: int) -> F.Column:
         f"""SELECT message_uuid, rejected, clarification FROM (SELECT *,
   last_value(CASE WHEN role = 'assistant' THEN message_uuid END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS rejected,
   first_value(CASE WHEN role = 'user' THEN message_uuid END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS clarification FROM messages)
-WHERE role = 'user' AND ({t.REACTION_SQL.format("text")}) = 'frustration'""",
+WHERE {extract.USER_SQL} AND length(text) < 500 AND {extract.sql_has('text', extract.CORRECTION)}""",
         v.MESSAGES_SQL,
     ),
 )
 def j09_correction_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each correcting message the assistant's message before it and the user's next one within five."""
+    """For each correction the assistant's message before it and the user's next one within five."""
     m = v.messages(spark, sf_dir)
     both = m.withColumn("rejected", _role_before("message_uuid", "assistant")).withColumn("clarification", _role_after("message_uuid", "user", 5))
-    return both.filter((F.col("role") == "user") & (t.reaction(F.col("text")) == "frustration")).select("message_uuid", "rejected", "clarification")
+    found = extract.user_texts(both).filter((F.length("text") < 500) & extract.has(F.col("text"), extract.CORRECTION))
+    return found.select("message_uuid", "rejected", "clarification")
 
 
 @query(
     "w02_escalation_chain",
     v.with_views(
         f"""SELECT message_uuid, coalesce(lag(bad) OVER (PARTITION BY session_id ORDER BY seq), false) AS after_correction, length(text) * 2 < lag(length(text)) OVER (PARTITION BY session_id ORDER BY seq) AS shrinking
-FROM (SELECT *, coalesce(({t.REACTION_SQL.format("text")}) = 'frustration', false) AS bad FROM messages WHERE role = 'user')""",
+FROM (SELECT *, length(text) BETWEEN 5 AND 1500 AND {extract.sql_has('text', extract.MODEL_CORRECTION)} AS bad FROM messages WHERE role = 'user')""",
         v.MESSAGES_SQL,
     ),
 )
@@ -167,7 +168,7 @@ def w02_escalation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the user's message before was a correction, and whether messages shrink by more than half."""
     u = v.messages(spark, sf_dir).filter("role = 'user'")
     order = W.partitionBy("session_id").orderBy("seq")
-    bad = F.coalesce(t.reaction(F.col("text")) == "frustration", F.lit(False))
+    bad = F.length("text").between(5, 1500) & extract.has(F.col("text"), extract.MODEL_CORRECTION)
     return u.withColumn("bad", bad).select(
         "message_uuid",
         F.coalesce(F.lag("bad").over(order), F.lit(False)).alias("after_correction"),

@@ -37,7 +37,7 @@ def s01_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k01_append",
-    "SELECT event_type, k, min(event_id) AS event_id FROM (SELECT event_id, event_type, user_id % 50 AS k FROM events WHERE event_id % 2 = 1) b WHERE NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id % 2 = 0 AND a.event_id % 100 = 0 AND a.event_type = b.event_type AND a.user_id % 50 = b.k) GROUP BY 1, 2",
+    "SELECT event_type, user_id AS k, min(event_id) AS event_id FROM events b WHERE event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM events a WHERE a.event_id % 2 = 0 AND a.event_type = b.event_type AND a.user_id = b.user_id) GROUP BY 1, 2",
 )
 def k01_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a batch adds to a table under a unique key."""
@@ -76,7 +76,7 @@ def i03_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "n01_text_keys",
-    f"SELECT doc_id, {t.correction_key_sql('substr(text, 1, 80)')} AS correction_key, {t.CONTENT_KEY_SQL.format('substr(text, 1, 80)')} AS content_key, rtrim(lower(trim(substr(text, 1, 40))), '.,;:!?') AS thing FROM documents",
+    f"SELECT doc_id, {t.correction_key_sql('text')} AS correction_key, {t.CONTENT_KEY_SQL.format('text')} AS content_key, rtrim(lower(trim(text)), '.,;:!?') AS thing FROM documents",
 )
 def n01_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The keys by which corrections, contents and things are told apart."""

@@ -63,8 +63,8 @@ def cost_by_model(turns: DataFrame) -> DataFrame:
 @query(
     "a05_cost_by_model",
     v.with_views(
-        f"""SELECT *, round({scoring.COST_SQL}, 6) AS cost FROM (SELECT coalesce(model, 'default') AS model,
-  {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in TOKENS)} FROM turns GROUP BY 1)""",
+        f"""SELECT * EXCLUDE (whose), round({scoring.COST_SQL}, 6) AS cost FROM (SELECT *, {scoring.PROVIDER_SQL} AS whose FROM (SELECT coalesce(model, 'default') AS model,
+  {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in TOKENS)} FROM turns GROUP BY 1))""",
         v.TURNS_SQL,
     ),
 )
@@ -80,7 +80,7 @@ def corrections(messages: DataFrame) -> DataFrame:
     return messages.filter((F.col("role") == "user") & F.lower(F.trim("text")).rlike(CORRECTION)).withColumn("key", text.correction_key(F.col("text")))
 
 
-CORRECTIONS_SQL = f"""corrections AS (SELECT *, {text.correction_key_sql("substr(text, 1, 60)")} AS key FROM messages
+CORRECTIONS_SQL = f"""corrections AS (SELECT *, {text.correction_key_sql("text")} AS key FROM messages
   WHERE role = 'user' AND regexp_matches(lower(trim(text)), '{CORRECTION.replace("'", "''")}'))"""
 
 
@@ -162,7 +162,7 @@ def topics(extractions: DataFrame) -> DataFrame:
     "a11_topics",
     v.with_views(
         f"""SELECT topic, count(*) AS n, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, arg_min(content, id) AS example
-FROM (SELECT *, CASE WHEN kind = 'correction' THEN {text.correction_key_sql("substr(content, 1, 60)")}
+FROM (SELECT *, CASE WHEN kind = 'correction' THEN {text.correction_key_sql("content")}
   ELSE array_to_string((list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda w: w <> ''))[1:6], ' ') END AS topic FROM extractions) GROUP BY topic""",
         v.EXTRACTIONS_SQL,
     ),

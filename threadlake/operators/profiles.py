@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from threadlake import views as v
+from threadlake.functions import scoring
 from threadlake.functions import text as t
 from threadlake.queries import query
 
@@ -71,31 +72,41 @@ def u02_first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(15)
 
 
+OPS_BURST, MARATHON = 10, 200
+
+
+def session_shapes(messages: DataFrame, by: str) -> DataFrame:
+    """For each value of `by` its sessions, their median of user messages and the shape they make.
+
+    Sessions are counted by size before they are put together, so a project of any number of sessions is a few rows.
+    """
+    sizes = messages.filter("role = 'user'").groupBy(by, "session_id").agg(F.count("*").alias("n")).groupBy(by, "n").agg(F.count("*").alias("k"))
+    share = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0)) / F.sum("k")
+    order = W.partitionBy(by).orderBy("n")
+    placed = sizes.withColumn("upto", F.sum("k").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("all", F.sum("k").over(W.partitionBy(by)))
+    first, second = (F.min(F.when(F.col("upto") >= at, F.col("n"))) for at in (F.ceil(F.col("all") / 2), F.floor(F.col("all") / 2) + 1))
+    p = placed.groupBy(by).agg(
+        F.sum("k").cast("long").alias("sessions"),
+        ((first + second) / 2).alias("median_messages"),
+        share(F.col("n") <= OPS_BURST).alias("ops"),
+        share(F.col("n") >= MARATHON).alias("marathon"),
+        share((F.col("n") > OPS_BURST) & (F.col("n") < MARATHON)).alias("middle"),
+    )
+    return p.select(by, "sessions", "median_messages", scoring.work_shape(F.col("ops"), F.col("marathon"), F.col("middle")).alias("shape"))
+
+
 @query(
     "a22_workflow",
-    """WITH s AS (SELECT user_id, ts // 86400 AS day, max(ts) - min(ts) AS span, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t0, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM (SELECT user_id, event_type, ts FROM events)) GROUP BY 1, 2),
-p AS (SELECT user_id, count(*) AS sessions, avg(CASE WHEN span < 3600 THEN 1.0 ELSE 0.0 END) AS ops, avg(CASE WHEN span >= 14400 THEN 1.0 ELSE 0.0 END) AS marathon,
-  avg(CASE WHEN span >= 3600 AND span < 14400 THEN 1.0 ELSE 0.0 END) AS middle, median(n) AS median_events, CAST(sum(errors) AS BIGINT) AS errors FROM s GROUP BY 1)
-SELECT user_id, sessions, median_events, errors, CASE WHEN ops >= 0.5 THEN 'ops_burst' WHEN marathon >= 0.5 THEN 'marathon' WHEN ops >= 0.2 AND marathon >= 0.2 THEN 'bimodal' WHEN middle >= 0.5 THEN 'focused' ELSE 'mixed' END AS shape FROM p""".replace(
-        "SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS t0, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM (SELECT user_id, event_type, ts FROM events)", "SELECT user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events"
+    v.with_views(
+        f"""SELECT project_key, count(*) AS sessions, median(n) AS median_messages, CASE WHEN avg(CAST(n <= {OPS_BURST} AS INT)) >= 0.5 THEN 'ops_burst' WHEN avg(CAST(n >= {MARATHON} AS INT)) >= 0.5 THEN 'marathon'
+  WHEN avg(CAST(n <= {OPS_BURST} AS INT)) >= 0.2 AND avg(CAST(n >= {MARATHON} AS INT)) >= 0.2 THEN 'bimodal' WHEN avg(CAST(n BETWEEN {OPS_BURST + 1} AND {MARATHON - 1} AS INT)) >= 0.5 THEN 'focused' ELSE 'mixed' END AS shape
+FROM (SELECT project_key, session_id, count(*) AS n FROM messages WHERE role = 'user' GROUP BY 1, 2) GROUP BY 1""",
+        v.MESSAGES_SQL,
     ),
 )
 def a22_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shape of each user's days of work."""
-    from threadlake.functions import scoring
-
-    e = v.table(spark, sf_dir, "events").select("user_id", "event_type", v.seconds().alias("ts"))
-    s = e.groupBy("user_id", F.floor(F.col("ts") / 86400).alias("day")).agg((F.max("ts") - F.min("ts")).alias("span"), F.count("*").alias("n"), F.count(F.when(F.col("event_type") == "error", 1)).alias("errors"))
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    p = s.groupBy("user_id").agg(
-        F.count("*").alias("sessions"),
-        share(F.col("span") < 3600).alias("ops"),
-        share(F.col("span") >= 14400).alias("marathon"),
-        share((F.col("span") >= 3600) & (F.col("span") < 14400)).alias("middle"),
-        F.median("n").alias("median_events"),
-        F.sum("errors").cast("long").alias("errors"),
-    )
-    return p.select("user_id", "sessions", "median_events", "errors", scoring.work_shape(F.col("ops"), F.col("marathon"), F.col("middle")).alias("shape"))
+    """The shape of each project's sessions."""
+    return session_shapes(v.messages(spark, sf_dir), "project_key")
 
 
 @query(
@@ -151,7 +162,7 @@ def mentions(texts: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
 @query(
     "a25_co_mentions",
     """WITH d AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
-r AS (SELECT term FROM d WHERE length(term) >= 6 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5)
+r AS (SELECT term FROM d WHERE length(term) >= 6 GROUP BY 1 HAVING count(*) >= 2)
 SELECT a, b, n, rank FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM
   (SELECT x.source AS a, y.source AS b, count(*) AS n FROM d x JOIN r USING (term) JOIN d y USING (term) WHERE x.source <> y.source GROUP BY 1, 2)) WHERE rank <= 5""",
 )

@@ -1,4 +1,4 @@
-"""Lexical, dense and fused search (R01-R14, M05, M07-M09, T01-T04, U-SET4, U-SET6, W08, A28)."""
+"""Lexical, dense and fused search (R01-R04, R08-R10, F08, F14, J02, M05, M08, M09, T01, T03, T04, U-SET6, W08, A28)."""
 
 from __future__ import annotations
 
@@ -86,7 +86,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, k: int) ->
     go by doc_id. Queries are sent to the tasks block by block, and every document is scored for every query.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), tokens(F.col(text)).alias("w")).filter("w IS NOT NULL")
-    n_docs, mean = docs.select(F.size(tokens(F.col(text))).alias("size")).agg(F.count("*"), F.avg("size")).first()
+    n_docs, mean = docs.select(F.size(tokens(F.col(text))).alias("size")).agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
     terms = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("terms"))
     wanted = terms.select(F.explode("terms").alias("term")).distinct()
     freq = own.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
@@ -103,7 +103,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, k: int) ->
         here = terms.sparkSession.createDataFrame(pa.table({"term": names.cast(pa.string())}))
         idf_of = weighed.join(here, "term", "left_semi").toArrow()
         at = pc.index_in(names, value_set=idf_of.column("term").combine_chunks().cast(names.type))
-        idf = np.where(at.is_valid(), idf_of.column("idf").to_numpy()[at.fill_null(0).to_numpy()], 0.0)
+        idf = np.append(idf_of.column("idf").to_numpy(), 0.0)[at.fill_null(len(idf_of)).to_numpy()]
         order = np.argsort(term, kind="stable")
         start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
         shared = docs.sparkSession.sparkContext.broadcast((ids, names, idf, owner[order].astype(np.int64), start, float(mean)))
@@ -138,11 +138,12 @@ def term_counts(lists: pa.Array, names: pa.Array) -> Iterator[tuple[int, np.ndar
 
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k of each query, with their position from 0."""
-    at = F.row_number().over(W.partitionBy("query_id").orderBy(*order)) - 1
-    return rows.withColumn("position", at).filter(F.col("position") < k)
+    at = F.row_number().over(W.partitionBy("query_id").orderBy(*order))
+    return rows.withColumn("position", at).filter(F.col("position") <= k).withColumn("position", F.col("position") - 1)
 
 
-QUERIES_SQL = "queries AS (SELECT item_id AS query_id, array_to_string((regexp_split_to_array(text, ' '))[1:12], ' ') AS query FROM benchmark)"
+def queries_sql(table: str, row_id: str, text: str) -> str:
+    return f"queries AS (SELECT {row_id} AS query_id, {text} AS query FROM {table} WHERE {row_id} % 50 = 0)"
 
 
 def search_queries(rows: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -162,7 +163,7 @@ bm25 AS (SELECT query_id, doc_id, -sum(greatest({IDF_FLOOR}, ln((n_docs - df + 0
 
 @query(
     "r02_bm25",
-    f"WITH {QUERIES_SQL}, {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, doc_id, round(rank, 5) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), doc_id) AS n FROM bm25) WHERE n <= 10",
+    f"WITH {queries_sql('documents', 'doc_id', 'text')}, {bm25_sql('documents', 'doc_id', 'text')} SELECT query_id, doc_id, round(rank, 5) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), doc_id) AS n FROM bm25) WHERE n <= 10",
 )
 def r02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each query."""
@@ -171,6 +172,17 @@ def r02_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top(found, 10, F.round("rank", 6), F.col("doc_id")).select("query_id", "doc_id", F.round("rank", 5).alias("rank"))
 
 
+NOW = v.EPOCH + 7776000
+
+
+def facts_sql(limit: int) -> str:
+    """`ranked` (query_id, id, kind, composite, position): the best facts by words, from extractions, queries and bm25."""
+    return f"""hits AS (SELECT b.query_id, e.*, least(1.0, greatest(0.0, 0.5 / (1 + exp(rank)) + 0.5 * score)) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), doc_id) AS n FROM bm25) b JOIN extractions e ON e.id = b.doc_id WHERE n <= {max(5 * limit, 50)}),
+scored AS (SELECT *, round(0.5 * relevance + 0.3 * pow(0.5, greatest(0.0, ({NOW} - ts) / 86400.0) / 90.0) + 0.2 * ({scoring.KIND_PRIORITY_SQL}), 5) AS composite FROM hits WHERE relevance >= {SCORE_FLOOR}),
+once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, kind, {t.CONTENT_KEY_SQL.format('content')} ORDER BY composite DESC, id) = 1),
+ranked AS (SELECT query_id, id, kind, composite, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, id) - 1 AS position FROM once QUALIFY position < {limit})"""
+
+
 def search_extractions(extractions: DataFrame, queries: DataFrame, now: int, limit: int = 10) -> DataFrame:
     """The best facts for each query: five times as many by BM25, floor, composite score, one of equal contents, limit."""
     fetch = max(limit * 5, 50)
@@ -183,16 +195,11 @@ def search_extractions(extractions: DataFrame, queries: DataFrame, now: int, lim
     return top(hits, limit, F.desc("composite"), F.col("doc_id")).select("query_id", F.col("doc_id").alias("id"), "kind", "composite", F.col("position").cast("long").alias("position"))
 
 
-NOW = v.EPOCH + 7776000
-
-
 @query(
     "r03_search_facts",
-    f"""WITH {v.EXTRACTIONS_SQL}, {QUERIES_SQL}, {bm25_sql('extractions', 'id', 'content')},
-hits AS (SELECT b.query_id, e.*, least(1.0, greatest(0.0, 0.5 / (1 + exp(rank)) + 0.5 * score)) AS relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), doc_id) AS n FROM bm25) b JOIN extractions e ON e.id = b.doc_id WHERE n <= 50),
-scored AS (SELECT *, round(0.5 * relevance + 0.3 * pow(0.5, greatest(0.0, ({NOW} - ts) / 86400.0) / 90.0) + 0.2 * ({scoring.KIND_PRIORITY_SQL}), 5) AS composite FROM hits WHERE relevance >= {SCORE_FLOOR}),
-once AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, kind, {t.CONTENT_KEY_SQL.format('content')} ORDER BY composite DESC, id) = 1)
-SELECT query_id, id, kind, composite, row_number() OVER (PARTITION BY query_id ORDER BY composite DESC, id) - 1 AS position FROM once QUALIFY position < 10""",
+    f"""WITH {v.EXTRACTIONS_SQL}, {queries_sql('extractions', 'id', 'content')}, {bm25_sql('extractions', 'id', 'content')},
+{facts_sql(10)}
+SELECT * FROM ranked""",
 )
 def r03_search_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = v.extractions(spark, sf_dir)
@@ -240,9 +247,8 @@ def matrix(lists: pa.Array) -> np.ndarray:
         return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-DENSE_SQL = """mean AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY 1, 2),
-c AS (SELECT label AS query_id, list(m ORDER BY i) AS q FROM mean GROUP BY 1),
-dense AS (SELECT query_id, vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))), 5) AS distance FROM embeddings, c)"""
+DENSE_SQL = """c AS (SELECT vec_id AS query_id, label AS wanted, CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id % 50 = 0),
+dense AS (SELECT query_id, vec_id, round(1 - list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))), 5) + 0.0 AS distance FROM embeddings e, c)"""
 
 
 @query(
@@ -263,23 +269,31 @@ def fuse(lists: list[tuple[DataFrame, float]], item: str, k: int = 60) -> DataFr
     return all_.groupBy("query_id", item).agg(F.sum("s").alias("fused"))
 
 
+def hybrid(facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, weights: tuple[float, float] = (1.0, 3.0)) -> DataFrame:
+    """(query_id, id, fused) of the best facts by BM25 and by vectors, three times as many of each, fused by rank.
+
+    `queries` has query_id, query and q, the vector; facts without a vector are only found by their words. The lexical
+    leg fetches five times as many as it gives and drops what is under the floor.
+    """
+    wanted = 3 * limit
+    words = search_extractions(facts, queries.select("query_id", "query"), NOW, wanted).select("query_id", "id", "position")
+    dense = nearest(vectors, queries.select("query_id", "q"), wanted).select("query_id", F.col("vec_id").alias("id"), "position")
+    fused = fuse([(words, weights[0]), (dense, weights[1])], "id").withColumn("fused", F.round("fused", 8))
+    return top(fused, limit, F.desc("fused"), F.col("id"))
+
+
 @query(
     "r10_hybrid",
-    f"""WITH {v.EXTRACTIONS_SQL}, {DENSE_SQL},
-a AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS position FROM dense QUALIFY position < 60),
-b AS (SELECT label AS query_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY score DESC, ts DESC, id) - 1 AS position FROM extractions JOIN embeddings ON vec_id = id QUALIFY position < 60),
-f AS (SELECT query_id, vec_id, round(sum(s), 8) AS fused FROM (SELECT query_id, vec_id, 3.0 / (60 + position + 1) AS s FROM a UNION ALL SELECT query_id, vec_id, 1.0 / (60 + position + 1) FROM b) GROUP BY 1, 2)
-SELECT query_id, vec_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, vec_id) <= 20""",
+    f"""WITH {v.EXTRACTIONS_SQL}, queries AS (SELECT id AS query_id, content AS query FROM extractions JOIN embeddings ON vec_id = id WHERE id % 50 = 0), {bm25_sql('extractions', 'id', 'content')}, {facts_sql(60)}, {DENSE_SQL},
+near AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS position FROM dense SEMI JOIN queries USING (query_id) QUALIFY position < 60),
+f AS (SELECT query_id, id, round(sum(s), 8) AS fused FROM (SELECT query_id, id, 3.0 / (60 + position + 1) AS s FROM near UNION ALL SELECT query_id, id, 1.0 / (60 + position + 1) FROM ranked) GROUP BY 1, 2)
+SELECT query_id, id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) <= 20""",
 )
 def r10_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense neighbours and the best-scored facts of the query's label, fused 3:1."""
-    x = v.table(spark, sf_dir, "embeddings")
-    dense = nearest(x, vector_queries(x), 60)
-    facts = x.select(F.col("label").alias("query_id"), "vec_id").join(v.extractions(spark, sf_dir).withColumnRenamed("id", "vec_id"), "vec_id")
-    by_label = top(facts, 60, F.desc("score"), F.desc("ts"), F.col("vec_id")).withColumnRenamed("query_id", "label")
-    lexical = x.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label").join(by_label, "label")
-    fused = fuse([(dense, 3.0), (lexical, 1.0)], "vec_id").withColumn("fused", F.round("fused", 8))
-    return top(fused, 20, F.desc("fused"), F.col("vec_id")).select("query_id", "vec_id", "fused")
+    """R10 for each fact with a vector whose id is divisible by 50."""
+    facts, x = v.extractions(spark, sf_dir), v.table(spark, sf_dir, "embeddings")
+    asked = search_queries(facts, "id", "content").join(vector_queries(x), "query_id")
+    return hybrid(facts, x, asked, 20).select("query_id", "id", "fused")
 
 
 def ranking_metrics(hits: DataFrame) -> DataFrame:
@@ -296,7 +310,7 @@ def ranking_metrics(hits: DataFrame) -> DataFrame:
 @query(
     "a28_retrieval_metrics",
     f"""WITH {DENSE_SQL}, r AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS position FROM dense QUALIFY position < 10),
-f AS (SELECT query_id, min(CASE WHEN label = query_id THEN position END) AS hit FROM r JOIN embeddings USING (vec_id) GROUP BY 1)
+f AS (SELECT query_id, min(CASE WHEN label = wanted THEN position END) AS hit FROM r JOIN embeddings USING (vec_id) JOIN c USING (query_id) GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN hit = 0 THEN 1.0 ELSE 0.0 END), 6) AS p_at_1, round(avg(CASE WHEN hit < 5 THEN 1.0 ELSE 0.0 END), 6) AS p_at_5, round(avg(coalesce(1.0 / (hit + 1), 0.0)), 6) AS mrr FROM f""",
 )
 def a28_retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,3 +329,75 @@ def m08_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of length 1."""
     x = v.table(spark, sf_dir, "embeddings").select("vec_id", scoring.normalised(F.transform("embedding", lambda a: a.cast("double") * 2)).alias("e"))
     return x.select("vec_id", F.round(scoring.dot(F.col("e"), F.col("e")), 6).alias("squared"), F.round(F.get("e", F.lit(0)), 6).alias("first"))
+
+
+def message_search(messages: DataFrame, queries: DataFrame, limit: int, role: str | None = None, cwd: str | None = None) -> DataFrame:
+    """(query_id, seq, score) of the best messages by BM25, of a role or a working folder if given; the base score is 0.5."""
+    own = messages
+    if role:
+        own = own.filter(F.col("role") == role)
+    if cwd:
+        own = own.filter(F.col("project_key") == t.project_key(F.lit(cwd)))
+    found = top(bm25(own, queries, "seq", "text", limit), limit, F.round("rank", 6), F.col("doc_id"))
+    return found.select("query_id", F.col("doc_id").alias("seq"), F.round(scoring.relevance(F.col("rank"), F.lit(0.5)), 5).alias("score"), "position")
+
+
+@query(
+    "r04_message_search",
+    f"""WITH {v.MESSAGES_SQL}, own AS MATERIALIZED (SELECT * FROM messages WHERE role = 'assistant'), queries AS (SELECT seq AS query_id, text AS query FROM messages WHERE seq % 50 = 0), {bm25_sql('own_messages', 'seq', 'text')}
+SELECT query_id, doc_id AS seq, round(least(1.0, greatest(0.0, 0.5 / (1 + exp(rank)) + 0.25)), 5) AS score FROM bm25 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 6), doc_id) <= 10""".replace(
+        "own AS MATERIALIZED", "own_messages AS"
+    ),
+)
+def r04_message_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assistant's messages that fit best, for each message whose number is divisible by 50."""
+    m = v.messages(spark, sf_dir)
+    return message_search(m, search_queries(m, "seq", "text"), 10, "assistant").select("query_id", "seq", "score")
+
+
+def filtered(facts: DataFrame, cwd: str | None = None, kinds: list[str] | None = None, since: int | None = None, exact: bool = False) -> DataFrame:
+    """facts that meet all of the filters that are given; a working folder stands for its project unless it is to be exact."""
+    own = facts
+    if cwd:
+        own = own.filter(F.col("project_key") == (F.lit(cwd) if exact else t.project_key(F.lit(cwd))))
+    if kinds:
+        own = own.filter(F.col("kind").isin(kinds))
+    if since is not None:
+        own = own.filter(F.col("ts") >= since)
+    return own
+
+
+@query(
+    "f08_filtered_search",
+    f"""WITH {v.EXTRACTIONS_SQL.replace('extractions AS', 'every AS')}, extractions AS (SELECT * FROM every WHERE project_key = '/proj/src1' AND kind IN ('decision', 'ban', 'goal', 'correction') AND ts >= {v.EPOCH + 864000}),
+queries AS (SELECT id AS query_id, content AS query FROM every WHERE id % 50 = 0), {bm25_sql('extractions', 'id', 'content')}, {facts_sql(10)}
+SELECT query_id, id, composite, position FROM ranked""",
+)
+def f08_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best facts of one project, of some kinds, since a time."""
+    e = v.extractions(spark, sf_dir)
+    own = filtered(e, "/proj/src1/.worktrees/w1", ["decision", "ban", "goal", "correction"], v.EPOCH + 864000)
+    return search_extractions(own, search_queries(e, "id", "content"), NOW).select("query_id", "id", "composite", "position")
+
+
+def merged(primary: DataFrame, secondary: DataFrame, item: str, limit: int) -> DataFrame:
+    """U-SET6: the primary list in its order, then what only the secondary has, in its order; of (query_id, item, position)."""
+    both = primary.select("query_id", item, F.lit(0).alias("leg"), "position").unionByName(secondary.select("query_id", item, F.lit(1).alias("leg"), "position"))
+    first = both.groupBy("query_id", item).agg(F.min(F.struct("leg", "position")).alias("at"))
+    return top(first, limit, F.col("at"), F.col(item)).select("query_id", item, "position")
+
+
+@query(
+    "uset6_merged",
+    f"""WITH {v.EXTRACTIONS_SQL}, queries AS (SELECT id AS query_id, content AS query FROM extractions JOIN embeddings ON vec_id = id WHERE id % 50 = 0), {bm25_sql('extractions', 'id', 'content')}, {facts_sql(10)}, {DENSE_SQL},
+near AS (SELECT query_id, vec_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) - 1 AS position FROM dense SEMI JOIN queries USING (query_id) QUALIFY position < 10),
+firsts AS (SELECT query_id, id, min(leg * 1000 + position) AS place FROM (SELECT query_id, id, 0 AS leg, position FROM near UNION ALL SELECT query_id, id, 1, position FROM ranked) GROUP BY 1, 2)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY place, id) - 1 AS position FROM firsts QUALIFY position < 15""",
+)
+def uset6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U-SET6: neighbours first, then facts that only the words find."""
+    facts, x = v.extractions(spark, sf_dir), v.table(spark, sf_dir, "embeddings")
+    asked = search_queries(facts, "id", "content").join(vector_queries(x), "query_id")
+    words = search_extractions(facts, asked.select("query_id", "query"), NOW).select("query_id", "id", "position")
+    dense = nearest(x, asked.select("query_id", "q"), 10).select("query_id", F.col("vec_id").alias("id"), "position")
+    return merged(dense, words, "id", 15).select("query_id", "id", F.col("position").cast("long").alias("position"))

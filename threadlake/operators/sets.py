@@ -1,4 +1,4 @@
-"""Joins and set operations (J03-J17, U-SET1-U-SET7, T01-T06)."""
+"""Joins and set operations (J01-J04, J10, U-SET2, U-SET3, U-SET5, T02)."""
 
 from __future__ import annotations
 
@@ -104,17 +104,6 @@ def j10_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.filter("event_type = 'click'").join(links, "event_id", "left").select("event_id", F.coalesce(own, "linked").alias("duration"))
 
 
-@query(
-    "j16_order_counts",
-    "SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(round(sum(o_totalprice), 2), 0.0) AS total FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1",
-)
-def j16_order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every owner with the number of what it owns, none included; counted before the join."""
-    o = v.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"))
-    c = v.table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left")
-    return c.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce(F.round("s", 2), F.lit(0.0)).alias("total"))
-
-
 @query(
     "t02_browse",
     v.with_views("SELECT id, kind, ts, score FROM extractions ORDER BY ts DESC NULLS LAST, score DESC, id LIMIT 50", v.EXTRACTIONS_SQL),

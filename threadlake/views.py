@@ -21,7 +21,7 @@ USER_PHRASES = [
     "i said use parquet not csv. ",
     "perfect, that works. ",
     "don't mock the database again. ",
-    "we tried sqlite but it locked. ",
+    "we tried sqlite but it failed. ",
     "stop guessing, you always break the build. ",
     "we chose spark over pandas because it scales. ",
     "why did you delete it? ",
@@ -152,7 +152,7 @@ RUNS_SQL = """runs AS (
 
 EXTRACTIONS_SQL = f"""extractions AS (
   SELECT d.doc_id AS id, (['correction', 'decision', 'preference', 'domain_fact', 'progress', 'goal', 'ban', 'model_correction', 'away_summary', 'truth_assertion'])[d.doc_id % 10 + 1] AS kind,
-    substr(text, 1, 500) AS content, 's' || d.doc_id % 97 AS session_id, source, '/proj/' || source AS project_key,
+    text AS content, 's' || d.doc_id % 97 AS session_id, source, '/proj/' || source AS project_key,
     {EPOCH} + d.doc_id * 977 % 7776000 AS ts, CAST(coalesce(quality, 0) * 0.5 + 0.4 AS DOUBLE) AS score
   FROM documents d LEFT JOIN (SELECT doc_id, quality FROM labels) l ON d.doc_id = l.doc_id)"""
 
