@@ -1,5 +1,6 @@
 """Held-out accuracy, round trips and edge cases of the trained operators, and of pseudonyms and mixing."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -35,6 +36,8 @@ def test_language_edges(spark, sf):
         assert 0 <= r.score <= 1
         assert (r.lang_pred == "und") == (r.text is None or not any(c.isalpha() for c in r.text))
     assert langid.predict(df.limit(0), model).count() == 0
+    clash = df.selectExpr("doc_id", "text", "1 AS __has_letter", "2 AS rejected")
+    assert {r["__has_letter"] for r in langid.predict(clash, model).collect()} == {1}
     none = langid.fit(documents(spark, sf).limit(0))
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
@@ -153,6 +156,17 @@ def test_language_model(spark, sf):
         assert r.score < 0 < r.bits_per_byte < 8
 
 
+def test_language_model_of_any_partitioning(spark, sf):
+    docs = documents(spark, sf).selectExpr("doc_id", "text", "doc_id % 7 = 2 AS held")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in (3, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append({r.doc_id: r.score for r in lm.score_documents(docs.repartition(n), "held").collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0].keys() == found[1].keys() and all(math.isclose(found[0][k], found[1][k], rel_tol=1e-9) for k in found[0])
+
+
 def test_language_model_is_a_distribution():
     """Probabilities of all first bytes after two given ones add up to 1, and likewise those of the next byte of a word."""
     keys = [b"the", b"then", b"than", b"and"] * 10
@@ -172,6 +186,8 @@ def test_language_model_edges(spark):
     got = lm.score_documents(df, "held").collect()
     assert len(got) == len(ODD) and all(np.isfinite(r.score) for r in got)
     assert lm.score_documents(df.limit(0), "held").count() == 0
+    clash = df.selectExpr("doc_id", "text", "held", "1 AS g", "2 AS kind", "3 AS score")
+    assert lm.score_documents(clash, "held").count() == len(ODD)
     assert all(r.n_known == 0 for r in lm.score_documents(df.withColumn("held", df.doc_id.isNotNull() | df.doc_id.isNull()), "held").collect())
 
 
@@ -191,7 +207,7 @@ def test_pseudonyms(spark):
     social = [f"{k:03d}-12-3456" for k in range(1, 400)]
     values = cards + dates + octets + social
     df = spark.createDataFrame([(k, f"see {x}, and {x}.") for k, x in enumerate(values)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     new = []
     for k, x in enumerate(values):
         a, b = re.fullmatch("see (.*), and (.*)\\.", got[k].text).groups()
@@ -211,22 +227,52 @@ def test_pseudonyms(spark):
 def test_pseudonym_edges(spark):
     left = ["9807915762804491", "1.2.3.400", "2023-02-29", "000-12-3456", "plain", "", None, "v1.2.3.4.5", "12345678901234567890"]
     df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(left)], "doc_id long, text string, n_private int")
-    got = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
     for k, t in enumerate(left):
         if t != "9807915762804491" or not luhn(t):
             assert (got[k].text, got[k].n_private) == (t, 0), t
     odd = spark.createDataFrame([(1, "a.B@x.com A.B@x.com +1 (017) 555-7713 " + "ab@" * 3000 + " 9" * 50_000), (1, "a.B@x.com")], "doc_id long, text string")
-    a, b = pii.pseudonymise(odd).orderBy("n_private").collect()
+    a, b = pii.pseudonymise(odd, "k").orderBy("n_private").collect()
     assert a.text in b.text and "555-7713" not in b.text
     assert pii.pseudonymise(odd, key="other").filter("text = 'a.B@x.com'").count() == 0
-    assert pii.pseudonymise(df.limit(0)).count() == 0
+    assert pii.pseudonymise(df.limit(0), "k").count() == 0
+
+
+def plain_permutation(values, radix, kind, key):
+    """The Feistel rounds digit by digit."""
+    half, v = len(values) // 2, list(values)
+    for r in range(pii.ROUNDS):
+        first = r % 2 == 0
+        other = v[half:] if first else v[:half]
+        digest = hashlib.sha512(":".join((key, kind, str(r), ".".join(map(str, radix)), ",".join(map(str, other)))).encode()).hexdigest()
+        v = [(x + int(digest[i % 32 * 4 : i % 32 * 4 + 4], 16)) % radix[i] if (i < half) == first else x for i, x in enumerate(v)]
+    return v
+
+
+def test_permutation_against_plain_rounds(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [([int(rng.integers(0, r)) for r in radix], radix) for radix in ([10] * 15, [256] * 4, [189, 773], [898, 99, 9999], [26, 1, 10, 10, 26]) for _ in range(20)]
+    df = spark.createDataFrame(rows, "v array<int>, radix array<int>")
+    for r in df.withColumn("out", pii.permute(F.col("v"), F.col("radix"), "card", "secret")).collect():
+        assert list(r.out) == plain_permutation(r.v, r.radix, "card", "secret")
+
+
+def test_pseudonyms_keep_their_format(spark):
+    texts = ["9dE4" * 8, "12/25/2024", "+49 30 1234567", "555-123-4567", "555.123.4567"]
+    df = spark.createDataFrame([(k, f"<{t}>") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.text[1:-1] for r in pii.pseudonymise(df, "k").collect()}
+    assert all(got[k] != t and len(got[k]) == len(t) for k, t in enumerate(texts))
+    assert re.fullmatch("[0-9a-fA-F]{32}", got[0]) and re.fullmatch(r"\d\d/\d\d/\d{4}", got[1])
+    assert re.fullmatch(r"\+49 \d\d \d{7}", got[2]) and re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[3]) and re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", got[4])
 
 
 def test_permutation_is_one_to_one(spark):
     from pyspark.sql import functions as F
 
     df = spark.range(27 * 37).select(F.array((F.col("id") % 27).cast("int"), F.floor(F.col("id") / 27).cast("int")).alias("v"))
-    out = df.select(pii.permute(F.col("v"), F.array(F.lit(27), F.lit(37)), "x").alias("p"))
+    out = df.select(pii.permute(F.col("v"), F.array(F.lit(27), F.lit(37)), "x", "k").alias("p"))
     assert out.distinct().count() == 27 * 37
     assert out.filter("p[0] < 0 OR p[0] >= 27 OR p[1] < 0 OR p[1] >= 37").count() == 0
 
@@ -252,6 +298,33 @@ def test_mixing_edges(spark, sf):
     assert mixing.mix_sources(df, labels).count() == len(ODD)
     assert mixing.mix_sources(df, labels.limit(0)).count() == len(ODD)
     assert mixing.mix_sources(df.limit(0), labels).count() == 0
+    clash = df.selectExpr("doc_id", "text", "source", "1 AS start", "2 AS __source", "3 AS __words", "4 AS rate", "5 AS __start")
+    got = mixing.mix_sources(clash, labels)
+    assert got.columns == ["doc_id", "text", "source", "start", "__source", "__words", "__start", *mixing.NEW]
+    assert {(r.start, r["__source"], r["__words"], r["__start"]) for r in got.collect()} == {(1, 2, 3, 5)}
+
+
+def test_mixing_against_plain_descent(spark, sf):
+    """Rates and their draw, from the same posteriors, by descent over all documents at once."""
+    docs = documents(spark, sf).select("doc_id", "text", "source")
+    want = {"de": 0.3, "en": 0.3, "es": 0.2, "fr": 0.2}
+    rows = mixing.mix_sources(docs, mixing.language_labels(documents(spark, sf)), weights=want).collect()
+    n, p = np.array([float(r.n_tokens) for r in rows]), np.array([r.posterior for r in rows])
+    own = defaultdict(float)
+    for r in rows:
+        own[r.source] += r.n_tokens
+    tokens, live = n.sum(), sum(x > 0 for x in own.values())
+    start = np.array([tokens / live / own[r.source] if own[r.source] else 1.0 for r in rows])
+    gram = (n[:, None] * p).T @ (n[:, None] * p)
+    inverse = np.linalg.pinv(gram + np.eye(p.shape[1]) * (1e-9 * gram.trace() + 1e-12))
+    goal, rate = tokens * np.array([want[d] for d in rows[0].domains]), start
+    for _ in range(mixing.STEPS):
+        residual = (rate * n) @ p - goal
+        if np.abs(residual).max() / goal.sum() <= mixing.TOLERANCE:
+            break
+        rate = np.maximum(0, rate - n * (p @ (inverse @ residual)))
+    assert np.allclose(rate, [r.rate for r in rows], rtol=1e-6, atol=1e-9)
+    assert all(r.off_target <= mixing.TOLERANCE for r in rows)
 
 
 @pytest.mark.parametrize("name", ["op4_quality_classifier", "op5_pii", "op8_mixing", "op9_toxicity"])

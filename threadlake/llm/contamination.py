@@ -231,6 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. A null text has no words; repeated rows are each matched."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = find_matches(docs, documents(spark, sf_dir, "benchmark"), drop=("text",))
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

@@ -188,6 +188,7 @@ def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256; a null text counts as empty."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     marked = mark_duplicates(docs, duplicate_classes(docs))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -1,6 +1,6 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-A text is the mean of the embeddings of its subwords (letter runs of 2 to 4 bytes and whole words, hashed to
+A text is the mean of the embeddings of its subwords (runs of 2 to 4 bytes, over word edges too, hashed to
 BUCKETS rows); a linear softmax over that mean gives the languages. Both are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. As the softmax is linear in the mean, the trained
 embeddings are folded into one small table of BUCKETS x languages, and scoring is a mean of table rows.
@@ -155,16 +155,20 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tup
     """Each row of `docs` with lang_pred, score (its calibrated probability) and rejected.
 
     A null text or one without a letter gets `und`, score 0, rejected. Rows whose best language is less likely
-    than the model's threshold are rejected as well, but keep their prediction.
+    than the model's threshold are rejected as well, but keep their prediction. Whole texts are read, repeated rows get
+    equal predictions, an empty table stays empty. Columns of `docs` named as the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    flag = "__has_letter"
+    while flag in docs.columns:
+        flag += "_"
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         model = shared.value
         texts = as_bytes(batch.column(batch.schema.get_field_index(text)))
-        letters = batch.column(batch.schema.get_field_index("__has_letter")).to_pylist()
+        letters = batch.column(batch.schema.get_field_index(flag)).to_pylist()
         if not model.languages:
             best, top = [None] * len(texts), np.zeros(len(texts))
         else:
@@ -177,7 +181,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", drop: tup
             pa.array([not k or x < model.threshold for k, x in zip(known, top, strict=True)], pa.bool_()),
         ]
 
-    return append_columns(docs.withColumn("__has_letter", has_letter), text, fields, compute, (*drop, "__has_letter"))
+    return append_columns(docs.withColumn(flag, has_letter), text, fields, compute, (*drop, flag))
 
 
 def learnable(docs: DataFrame) -> DataFrame:
@@ -185,7 +189,8 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out (not learned from; false for a null id), lang_pred, score, rejected."""
     docs = documents(spark, sf_dir)
     model = fit(learnable(docs))
-    rows = docs.select("doc_id", "text", (F.pmod(id_crc(), F.lit(4)) == 2).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(F.pmod(id_crc(), F.lit(4)) == 2, F.lit(False)).alias("held_out"))
     return predict(rows, model, drop=("text",)).select("doc_id", "held_out", "lang_pred", "score", "rejected")

@@ -25,6 +25,8 @@ SAMPLE = 20_000
 DOMAINS = 64
 EVIDENCE = 50.0
 
+NEW = ("n_tokens", "domains", "posterior", "rate", "copies", "off_target")
+
 Model = tuple[list[str], dict[tuple[str, int], float], list[float]]
 
 
@@ -89,13 +91,14 @@ def _rate(history: list[list[float]]) -> Column:
     """The rate after the steps so far, each a number for each domain."""
     steps = F.array(*(F.array(*(F.lit(float(x)) for x in step)) for step in history)) if history else F.array().cast("array<array<double>>")
     fit = lambda step: F.aggregate(F.zip_with("posterior", step, lambda p, y: p * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(steps, F.col("start"), lambda r, step: F.greatest(F.lit(0.0), r - F.col("n_tokens") * fit(step)))
+    return F.aggregate(steps, F.col("__start"), lambda r, step: F.greatest(F.lit(0.0), r - F.col("n_tokens") * fit(step)))
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps that bring the domains' expected tokens to `targets`, from rows of start, n_tokens and posterior.
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], float]:
+    """The steps that bring the domains' expected tokens to `targets`, from rows of __start, n_tokens and posterior.
 
     Residuals are weighted by the inverse of the domains' Gram matrix, for which a gradient step of length 1 is safe.
+    Also returned: by how much of all tokens the domain that is farthest off misses its target after the last step that was measured.
     """
     d = len(targets)
     gram_of = [F.sum(F.col("n_tokens") * F.col("n_tokens") * F.get("posterior", F.lit(i)) * F.get("posterior", F.lit(j))).alias(f"g{i}_{j}") for i in range(d) for j in range(d)]
@@ -103,51 +106,60 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = STEPS, toleran
     gram = np.array([x or 0.0 for x in found], float).reshape(d, d)
     inverse = np.linalg.pinv(gram + np.eye(d) * (1e-9 * gram.trace() + 1e-12))
     history: list[list[float]] = []
-    for _ in range(steps):
+    off = 0.0
+    for turn in range(steps + 1):
         sums = rows.withColumn("rate", _rate(history)).agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(d))).first()
         residual = np.array([x or 0.0 for x in sums], float) - np.array(targets)
-        if np.abs(residual).max() <= tolerance * max(1.0, sum(targets)):
+        off = float(np.abs(residual).max() / max(1.0, sum(targets)))
+        if off <= tolerance or turn == steps:
             break
         history.append([float(x) for x in inverse @ residual])
-    return history
+    return history, off
 
 
 def mix_sources(
     docs: DataFrame, labelled: DataFrame, domain: str = "domain", weights: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, drop: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Each row of `docs` with n_tokens, posterior, rate (expected number of copies) and copies (a draw of it).
+    """Each row of `docs` with n_tokens, domains, posterior, rate (expected number of copies), copies (a draw of it) and off_target.
+
+    off_target is by how much of all tokens the domain that is farthest off misses its target: more than TOLERANCE where
+    the targets can't be met, as when a domain has no documents.
 
     `weights` gives each domain's share of the tokens; by default the square root of its share of the corpus,
     normed. The whole keeps its number of tokens. Texts without words belong to the domains by their priors and
     count no tokens. A null source is a source of its own; a null id draws as any other. Without labelled rows or
-    tokens every rate is the starting rate. Columns with the names of new ones are replaced; those in `drop` are not
-    carried on.
+    tokens every rate is the starting rate. Columns with the names of new ones are replaced, all others are carried on
+    whatever they are named; those in `drop` are not. Repeated rows have equal rates; whole texts are read.
     """
     model = fit_classifier(labelled, domain, text, doc_id)
     names = model[0]
-    base = docs.drop("n_tokens", "posterior", "rate", "copies", "domains")
+    kept = [c for c in docs.columns if c not in (*drop, *NEW)]
+    base = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns})
+    doc_id, text, source = (f"__own_{c}" for c in (doc_id, text, source))
     if names:
         scored = with_posteriors(base, model, text)
     else:
         scored = base.withColumn("n_tokens", F.size(word_list(F.col(text))).cast("long")).withColumn("posterior", F.array().cast("array<double>"))
     own = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    scored = saved(scored.withColumn("__source", own).drop(*drop), "mixing")
+    columns = [f"__own_{c}" for c in kept]
+    scored = saved(scored.withColumn("__source", own).select(*dict.fromkeys([*columns, doc_id]), "n_tokens", "posterior", "__source"), "mixing")
     by_source = scored.groupBy("__source").agg(F.sum("n_tokens").alias("own"))
     whole = by_source.agg(F.sum("own").alias("all"), F.count(F.when(F.col("own") > 0, 1)).alias("sources")).first()
     tokens, sources = float(whole["all"] or 0), max(whole["sources"], 1)
-    start = by_source.select("__source", F.when(F.col("own") > 0, F.lit(tokens / sources) / F.col("own")).otherwise(F.lit(1.0)).alias("start"))
+    start = by_source.select("__source", F.when(F.col("own") > 0, F.lit(tokens / sources) / F.col("own")).otherwise(F.lit(1.0)).alias("__start"))
     rows = scored.join(start, "__source")
-    history: list[list[float]] = []
+    history, off = [], 0.0
     if names and tokens:
         if weights is None:
             shares = scored.agg(*(F.sum(F.col("n_tokens") * F.get("posterior", F.lit(k))) for k in range(len(names)))).first()
             weights = {n: math.sqrt(max(x or 0.0, 0.0)) for n, x in zip(names, shares, strict=True)}
         total = sum(weights.get(n, 0.0) for n in names) or 1.0
-        history = fit_rates(rows.select("start", F.col("n_tokens").cast("double").alias("n_tokens"), "posterior"), [tokens * weights.get(n, 0.0) / total for n in names])
+        history, off = fit_rates(rows.select("__start", F.col("n_tokens").cast("double").alias("n_tokens"), "posterior"), [tokens * weights.get(n, 0.0) / total for n in names])
     u = F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     out = rows.withColumn("rate", _rate(history))
     out = out.withColumn("copies", (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"))
-    return out.withColumn("domains", F.array(*(F.lit(n) for n in names)).cast("array<string>")).drop("__source", "start")
+    out = out.withColumn("domains", F.array(*(F.lit(n) for n in names)).cast("array<string>")).withColumn("off_target", F.lit(off))
+    return out.select(*(F.col(f"__own_{c}").alias(c) for c in kept), *NEW)
 
 
 def language_labels(docs: DataFrame) -> DataFrame:
@@ -156,6 +168,7 @@ def language_labels(docs: DataFrame) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its source, tokens, domain posterior, rate and copies, with languages as domains."""
     docs = documents(spark, sf_dir)
     mixed = mix_sources(docs.select("doc_id", "text", "source"), language_labels(docs), drop=("text",))
-    return mixed.select("doc_id", "source", "n_tokens", "domains", "posterior", "rate", "copies")
+    return mixed.select("doc_id", "source", *NEW)

@@ -10,6 +10,7 @@ ones different pseudonyms, and each is again a valid value of its format.
 from __future__ import annotations
 
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from threadlake.llm.arrow import documents
 
 ROUNDS = 10
-KEY = "threadlake"
+KEY_SETTING = "spark.threadlake.pseudonym.key"
 
 # Bounded repeats and look-behinds keep the search linear in very long texts.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
@@ -26,9 +27,11 @@ ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1[0-9]{4}(?![0-9./]*[0-9])"
 ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 PHONE = r"(?<![0-9+])\+?[0-9]{1,3}[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+WORLD_PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){2,5}(?![0-9])"
+PLAIN_PHONE = r"(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9]|[.-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-ANY = "|".join((EMAIL, SECRET, ISO_DATE, DAY_DATE, ADDRESS, PHONE, SOCIAL, CARD))
+ANY = "|".join((EMAIL, SECRET, ISO_DATE, DAY_DATE, ADDRESS, PHONE, WORLD_PHONE, PLAIN_PHONE, SOCIAL, CARD))
 
 # 400 Gregorian years are 146097 = 189 * 773 days
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -40,7 +43,7 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def permute(values: Column, radix: Column, kind: str, key: str = KEY) -> Column:
+def permute(values: Column, radix: Column, kind: str, key: str) -> Column:
     """A keyed permutation of arrays of digits: values[i] in 0..radix[i]-1. Positions of radix 1 stay 0."""
 
     def one(v: Column, r: Column) -> Column:
@@ -91,7 +94,9 @@ def _hex(m: Column, key: str) -> Column:
     values = F.transform(F.split(low, ""), lambda c: F.conv(c, 16, 10).cast("int"))
     out = permute(values, F.transform(values, lambda _: F.lit(16)), "secret", key)
     text = F.array_join(F.transform(out, lambda x: F.substring(F.lit(HEX), x + 1, 1)), "")
-    return F.when(m == low, text).when(m == F.upper(m), F.upper(text)).otherwise(_characters(m, "secret", key))
+    # of mixed case: each place that was an upper-case letter has an upper-case one, if it has a letter
+    mixed = F.array_join(F.zip_with(F.split(m, ""), out, lambda c, x: F.when(c.rlike("^[A-F]$"), F.substring(F.lit(HEX.upper()), x + 1, 1)).otherwise(F.substring(F.lit(HEX), x + 1, 1))), "")
+    return F.when(m == low, text).when(m == F.upper(m), F.upper(text)).otherwise(mixed)
 
 
 def _digits(m: Column) -> Column:
@@ -151,27 +156,31 @@ def _social(m: Column, key: str) -> Column:
     return F.when(valid, _let(out, back)).otherwise(m)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one found value; the value itself if it isn't valid."""
     iso = _date(m, F.try_to_date(m, "yyyy-MM-dd"), key)
     dotted = _date(m, F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"), key)
+    other = _date(m, F.try_to_date(m, "MM/dd/yyyy"), key)  # where the second number is no month
     sep = F.substring(m, 3, 1)
     return (
         F.when(m.contains("@"), _characters(m, "email", key, F.instr(m, "@") - 1))
         .when(m.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.coalesce(F.date_format(iso, "yyyy-MM-dd"), m))
-        .when(m.rlike("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.coalesce(F.regexp_replace(F.date_format(dotted, "dd.MM.yyyy"), F.lit(r"\."), sep), m))
+        .when(m.rlike("^[0-9]{2}[./][0-9]{2}[./][0-9]{4}$"), F.coalesce(F.regexp_replace(F.date_format(dotted, "dd.MM.yyyy"), F.lit(r"\."), sep), F.date_format(other, "MM/dd/yyyy"), m))
         .when(m.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$"), _address(m, key))
         .when(m.contains("("), F.concat(F.substring_index(m, "(", 1), _characters(F.substr(m, F.instr(m, "(")), "phone", key)))
+        .when(m.startswith("+"), F.concat(F.regexp_extract(m, "^[+][0-9]+", 0), _characters(F.regexp_replace(m, "^[+][0-9]+", ""), "phone", key)))
+        .when(m.rlike("^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), _characters(m, "phone", key))
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _social(m, key))
         .when(m.rlike("^[0-9A-Fa-f]{32,64}$"), _hex(m, key))
         .otherwise(_card(m, key))
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Each row of `docs` with its text pseudonymised, and n_private, the number of values replaced.
 
-    Emails keep their domain, phone numbers their country code. A null text stays null and an empty one empty,
+    Who has `key` can undo the permutations, so it must be kept as a secret. Emails keep their domain, phone numbers
+    their country code. Hexadecimal secrets that differ in case only get pseudonyms that do. A null text stays null and an empty one empty,
     with n_private 0. Repeated rows are treated alike; a column named n_private is replaced. Nothing is shuffled.
     """
     source = F.col(text)
@@ -186,4 +195,6 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFra
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_private", "text")
+    """One row per document: doc_id, n_private and the text with pseudonyms, under the session's key or else a fresh one."""
+    key = spark.conf.get(KEY_SETTING, None) or token_hex(32)
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key).select("doc_id", "n_private", "text")

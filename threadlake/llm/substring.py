@@ -261,7 +261,9 @@ def remove_repeats(
     Words are runs of characters other than space and \\x09-\\x0D. A word is removed if a window of `window`
     words covers it whose words also start earlier: in a document of smaller id, or earlier in the same one.
     Null texts have no words. Rows that repeat an id are told apart by copy, in the order of their texts, of
-    which the first counts as earlier; rows of null id come before all others.
+    which the first counts as earlier; rows of null id come before all others. Whole texts are read; an empty table
+    gives none; other columns are not carried on, so none can clash. Rows are dealt out by id: all rows of one id,
+    or of none, are one group and meet in one task.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(1, math.ceil(size / group_bytes))
@@ -279,6 +281,7 @@ def remove_repeats(
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed and the hash of the words that stay."""
     found = remove_repeats(documents(spark, sf_dir), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
