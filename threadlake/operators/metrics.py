@@ -47,12 +47,6 @@ def a01_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(v.messages(spark, sf_dir), v.turns(spark, sf_dir))
 
 
-@query("a04_event_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
-def a04_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many events of each type, as compactions are counted by trigger."""
-    return v.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 def cost_by_model(turns: DataFrame) -> DataFrame:
     """Tokens and dollars by model; turns without a model are billed at the default rate."""
     sums = turns.groupBy(F.coalesce("model", F.lit("default")).alias("model")).agg(*(_zero(c).alias(c) for c in TOKENS))
@@ -207,16 +201,6 @@ def a14_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "a15_branches",
-    "SELECT 'e' || user_id % 100 || '-' || (event_id % 50) AS parent, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1",
-)
-def a15_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parents with more than one child, over parent links made of event keys."""
-    parent = F.concat_ws("-", F.concat(F.lit("e"), (F.col("user_id") % 100).cast("string")), (F.col("event_id") % 50).cast("string"))
-    return v.table(spark, sf_dir, "events").groupBy(parent.alias("parent")).agg(F.count("*").alias("n")).filter("n > 1")
-
-
 @query(
     "a16_top_topics",
     v.with_views(

@@ -92,18 +92,6 @@ def j03_vectors_of_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.extractions(spark, sf_dir).select("id", "kind", "score").join(x, "id")
 
 
-@query(
-    "j10_durations",
-    """SELECT a.event_id, coalesce(CASE WHEN a.event_id % 2 = 0 THEN a.value END, b.value) AS duration FROM events a LEFT JOIN events b ON b.event_id = a.event_id + 1 AND b.event_type = 'view' WHERE a.event_type = 'click'""",
-)
-def j10_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn's own duration, else that of the record which points to it."""
-    e = v.table(spark, sf_dir, "events")
-    links = e.filter("event_type = 'view'").select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("linked"))
-    own = F.when(F.col("event_id") % 2 == 0, F.col("value"))
-    return e.filter("event_type = 'click'").join(links, "event_id", "left").select("event_id", F.coalesce(own, "linked").alias("duration"))
-
-
 @query(
     "t02_browse",
     v.with_views("SELECT id, kind, ts, score FROM extractions ORDER BY ts DESC NULLS LAST, score DESC, id LIMIT 50", v.EXTRACTIONS_SQL),

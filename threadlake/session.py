@@ -23,7 +23,11 @@ def build(master: str = "local[8]", partitions: int = 8, **options: str) -> Spar
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """Uses the folder the cluster names in spark.checkpoint.dir; a local session that has none gets one of its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+    if context.getCheckpointDir() is not None:
+        return
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(found or "file:///tmp/checkpoints")

@@ -22,13 +22,15 @@ def replaced(target: DataFrame, batch: DataFrame, file: str = "source_file") ->
 
 
 def filled(target: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
-    """Null cells of a column take a value that came later."""
-    late = values.groupBy(key).agg(F.first(column, ignorenulls=True).alias("_late"))
+    """Null cells of a column take a value that came later, the greatest of several."""
+    late = values.groupBy(key).agg(F.max(column).alias("_late"))
     return target.join(late, key, "left").withColumn(column, F.coalesce(F.col(column), F.col("_late"))).drop("_late")
 
 
-def dump(rows: DataFrame, path: str, form: str = "json") -> None:
-    """Rows in order of time as JSON lines or Markdown."""
+def dump(rows: DataFrame, path: str, form: str = "json", kind: str | None = None, cwd: str | None = None, source: str | None = None) -> None:
+    """Rows in order of time as JSON lines or Markdown, of one kind, folder or source if given."""
+    for column, value in (("kind", kind), ("cwd", cwd), ("source", source)):
+        rows = rows if value is None else rows.filter(F.col(column) == value)
     ordered = rows.orderBy(F.col("ts").asc_nulls_first(), "seq")
     if form == "json":
         ordered.write.mode("overwrite").json(path)
