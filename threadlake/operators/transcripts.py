@@ -22,7 +22,8 @@ RULES = {
     "has_usage": "seq % 5 <> 0",
     "has_result": "seq % 4 = 0 AND parent_uuid IS NOT NULL",
     "has_two_results": "seq % 12 = 0",
-    "is_duration": "seq % 2 = 0",  # of the system's messages; the others are compactions
+    "has_duration": "role = 'assistant' AND seq % 7 = 0",  # a line of its own after the message's
+    "has_compaction": "role = 'assistant' AND seq % 11 = 0",
 }
 TOOLS = ["Read", "Edit", "Bash"]
 
@@ -51,14 +52,22 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "cwd": F.col("cwd"),
     }
     line = lambda **more: F.to_json(F.struct(*(x.alias(k) for k, x in (head | more).items())))
-    lines = (
+    after = lambda tail, **more: line(type=F.lit("system"), uuid=F.concat("message_uuid", F.lit(tail)), parentUuid=F.col("message_uuid"), **more)
+    sizes = F.struct((F.col("seq") % 500 + 1000).alias("preTokens"), (F.col("seq") % 300).alias("postTokens"), F.expr("CASE WHEN seq % 3 = 0 THEN 'manual' ELSE 'auto' END").alias("trigger"))
+    own = (
         F.when(F.col("role") == "assistant", line(message=F.struct(F.lit("m").alias("model"), assistant.alias("content"), usage.alias("usage"))))
         .when((F.col("role") == "user") & F.expr(RULES["has_result"]), line(message=F.struct(user.alias("content"))))
         .when(F.col("role") == "user", line(message=F.struct(text["text"].alias("content"))))
-        .when(F.expr(RULES["is_duration"]), line(subtype=F.lit("turn_duration"), durationMs=F.col("seq") % 977))
-        .otherwise(line(subtype=F.lit("compact_boundary"), compactMetadata=F.struct((F.col("seq") % 500 + 1000).alias("preTokens"), (F.col("seq") % 300).alias("postTokens"), F.expr("CASE WHEN seq % 3 = 0 THEN 'manual' ELSE 'auto' END").alias("trigger"))))
+        .otherwise(line(subtype=F.lit("away_summary"), content=F.col("text")))
     )
-    return m.select(F.lit("x.jsonl").alias("file"), "seq", lines.alias("line"))
+    lines = F.array_compact(
+        F.array(
+            own,
+            when("has_duration", after("-d", subtype=F.lit("turn_duration"), durationMs=F.col("seq") % 977)),
+            when("has_compaction", after("-c", subtype=F.lit("compact_boundary"), compactMetadata=sizes)),
+        )
+    )
+    return m.select(F.lit("x.jsonl").alias("file"), "seq", F.posexplode(lines).alias("place", "line")).select("file", (F.col("seq") * 10 + F.col("place")).alias("seq"), "line")
 
 
 @query("f03_turns", v.with_views(f"SELECT message_uuid, 'm' AS model, length(text) AS input_tokens, seq % 100 AS output_tokens FROM messages WHERE role = 'assistant' AND {RULES['has_usage']}", v.MESSAGES_SQL))
@@ -67,7 +76,7 @@ def f03_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.turns(raw_lines(spark, sf_dir)).select("message_uuid", "model", "input_tokens", "output_tokens")
 
 
-_COMPACTIONS = f"SELECT session_id, message_uuid, ts, seq % 500 + 1000 AS pre_tokens, seq % 300 AS post_tokens, CASE WHEN seq % 3 = 0 THEN 'manual' ELSE 'auto' END AS trigger FROM messages WHERE role = 'system' AND NOT ({RULES['is_duration']})"
+_COMPACTIONS = f"SELECT session_id, message_uuid || '-c' AS message_uuid, ts, seq % 500 + 1000 AS pre_tokens, seq % 300 AS post_tokens, CASE WHEN seq % 3 = 0 THEN 'manual' ELSE 'auto' END AS trigger FROM messages WHERE {RULES['has_compaction']}"
 
 
 @query("f04_compactions", v.with_views(_COMPACTIONS, v.MESSAGES_SQL))
@@ -92,8 +101,7 @@ def f06_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j10_durations",
     v.with_views(
-        f"""SELECT t.message_uuid, max(d.duration_ms) AS duration_ms FROM (SELECT message_uuid FROM messages WHERE role = 'assistant' AND {RULES['has_usage']}) t
-LEFT JOIN (SELECT parent_uuid, seq % 977 AS duration_ms FROM messages WHERE role = 'system' AND {RULES['is_duration']}) d ON d.parent_uuid = t.message_uuid GROUP BY 1""",
+        f"SELECT message_uuid, CASE WHEN {RULES['has_duration']} THEN seq % 977 END AS duration_ms FROM messages WHERE role = 'assistant' AND {RULES['has_usage']}",
         v.MESSAGES_SQL,
     ),
 )
@@ -120,8 +128,11 @@ def j11_tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a15_inspect",
     v.with_views(
-        """SELECT session_id, count(*) AS n, CAST(count(*) FILTER (WHERE role = 'user') AS BIGINT) AS n_user, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS n_assistant,
-  (SELECT count(*) FROM (SELECT parent_uuid FROM messages p WHERE p.session_id = m.session_id AND parent_uuid IS NOT NULL GROUP BY 1 HAVING count(*) > 1)) AS branches FROM messages m GROUP BY 1""",
+        f"""children AS (SELECT session_id, parent_uuid FROM messages WHERE parent_uuid IS NOT NULL UNION ALL SELECT session_id, message_uuid FROM messages WHERE {RULES['has_duration']}
+  UNION ALL SELECT session_id, message_uuid FROM messages WHERE {RULES['has_compaction']}),
+forks AS (SELECT session_id, count(*) AS branches FROM (SELECT session_id, parent_uuid FROM children GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1)
+SELECT session_id, count(*) + count(*) FILTER (WHERE {RULES['has_duration']}) + count(*) FILTER (WHERE {RULES['has_compaction']}) AS n, count(*) FILTER (WHERE role = 'user') AS n_user,
+  count(*) FILTER (WHERE role = 'assistant') AS n_assistant, coalesce(max(branches), 0) AS branches FROM messages LEFT JOIN forks USING (session_id) GROUP BY 1""".replace("children AS", ", children AS", 1),
         v.MESSAGES_SQL,
     ),
 )
