@@ -177,3 +177,14 @@ def test_escalation(spark):
     for text, before, risk, state in cases:
         got = spark.range(1).select(*(x.alias(k) for k, x in t.escalation(F.lit(text), F.lit(before)).items())).first()
         assert (got.risk, got.state) == (risk, state), text
+
+
+def test_small_rules(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(t.echoes(F.lit("ship the NEW parser"), F.lit("we ship the new parser today"))) and not one(t.echoes(F.lit("ship the new parser"), F.lit("ship it")))
+    assert one(t.context_window(F.lit("0123456789"), 4, 6, 2)) == "234567" and one(t.context_window(F.lit("abc"), 0, 1, 80)) == "abc"
+    assert one(t.quoted_terms(F.lit(' use "x"  now'))) == '"use" """x""" "now"' and one(t.quoted_terms(F.lit("a b"), True)) == '"a" OR "b"'
+    assert [one(t.has_emoji(F.lit(x))) for x in ("plain ascii + = <", "go \U0001f680", "done \u2714", "caf\u00e9")] == [False, True, True, False]
+    lists = [F.array(*map(F.lit, x)) for x in (["A", "b"], ["B", "c", "a", "C"])]
+    assert one(t.merged_lists(*lists)) == ["A", "b", "c"]
+    assert one(t.cited(*lists, most=3)) == ["A", "b", "B"]

@@ -1,5 +1,5 @@
 """Operators by family; importing this registers their queries."""
 
-from threadlake.operators import extract, facts, graph, ingest, metrics, profiles, recall, search, sets, transcripts
+from threadlake.operators import extract, facts, graph, ingest, metrics, profiles, recall, search, sets, targeted, transcripts
 
-__all__ = ["extract", "facts", "graph", "ingest", "metrics", "profiles", "recall", "search", "sets", "transcripts"]
+__all__ = ["extract", "facts", "graph", "ingest", "metrics", "profiles", "recall", "search", "sets", "targeted", "transcripts"]
