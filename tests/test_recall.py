@@ -33,3 +33,35 @@ def test_rerank_columns(spark):
 def test_budget_keeps_one(spark):
     df = spark.createDataFrame([(1, "x" * 500), (2, "y")], "rank long, text string")
     assert [r.rank for r in bounded(df, 10, F.col("rank")).collect()] == [1]
+
+
+def rank(spark, dense, words, contents, query, limit=3):
+    facts = spark.createDataFrame([(k, "decision", x) for k, x in contents.items()], "id long, kind string, content string")
+    place = lambda ids, **more: [(1, i, p, *([0.1 * (p + 1)] if more else [])) for p, i in enumerate(ids)]
+    d = spark.createDataFrame(place(dense, distance=True), "query_id int, id long, position int, distance double")
+    w = spark.createDataFrame(place(words), "query_id int, id long, position int")
+    got = recall.dense_first(d, w, facts, spark.createDataFrame([(1, query)], "query_id int, query string"), limit)
+    return [r.id for r in got.orderBy("position").collect()]
+
+
+def test_dense_first(spark):
+    contents = {1: "the green house stands by the sea", 2: "a boat on a lake", 3: "near-miss: green house", 4: "set web-01 to green", 5: "green web-01 is legacy and rejected"}
+    # a paraphrase keeps the neighbours' order; what only the words find comes after
+    assert rank(spark, [2, 1], [4], contents, "small ships afloat") == [2, 1, 4]
+    # an identifier that the words' first hit holds and the first neighbour doesn't
+    assert rank(spark, [1, 2], [4, 5], contents, "web-01") == [4, 5, 1]
+    # both hold it: ranked again, outdated phrasing behind
+    assert rank(spark, [5, 4], [4], contents, "web-01") == [4, 5]
+    # a near miss among the first makes words matter
+    assert rank(spark, [3, 1], [], contents, "green house") == [1, 3]
+
+
+def test_blend(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    lit = F.lit
+    got = one(recall.blended(lit("use web-01"), lit("decision: web-01 first"), lit("decision"), lit(0.2), lit(0), lit(None).cast("int")))
+    ident = 0.4 * (1 - 10 / 160) + 0.3 / (1 + 22 / 180) + 0.3
+    assert abs(got - (0.26 * 0.8 + 0.24 + 0.14 + 0.12 * ident + 0.08 * 0.12 / 0.14 + 0.06 * 0.35 + 0.06)) < 1e-9
+    got = one(recall.blended(lit("quiet mornings"), lit("we sleep late"), lit("other"), lit(0.5), lit(1), lit(3)))
+    assert abs(got - (0.55 * 0.5 + 0.12 / 2 + 0.10 * 0.02 / 0.14 + 0.05 / 4)) < 1e-9
+    assert [one(recall.exactish(lit(q), lit("Use WEB-01 now"))) for q in ("web-01", "now web-01", "web-02", "the", "")] == [True, True, False, False, False]
