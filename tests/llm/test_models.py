@@ -42,6 +42,31 @@ def test_language_edges(spark, sf):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_language_scores_against_plain_sums(spark, sf):
+    """Probabilities subword by subword, from the table that training left."""
+    texts = [r.text.encode() for r in documents(spark, sf).filter("text IS NOT NULL").select("text").limit(40).collect()]
+    model = langid.train(texts, ["ab"[k % 2] for k in range(len(texts))], epochs=2)
+    for text, p in zip(texts, model.probabilities(texts), strict=True):
+        buckets, _ = langid.subwords([text])
+        logits = [(sum(float(model.table[b, k]) for b in buckets) / max(1, len(buckets)) + model.bias[k]) / model.temperature for k in range(2)]
+        top = max(logits)
+        share = [math.exp(x - top) for x in logits]
+        assert np.allclose(p, np.array(share) / sum(share), atol=2e-3)
+
+
+def test_quality_scores_against_plain_sums():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 200)
+    views = [rng.normal(0, 1, (200, 7)) + y[:, None] for _ in range(2)]
+    model = quality.co_train([v[:80] for v in views], y[:80], [v[80:160] for v in views], growth=20)
+    for k in range(160, 200):
+        total = model.prior
+        for m, v in zip(model.views, views, strict=True):
+            logit = sum((v[k][j] - m.mean[j]) / m.scale[j] * m.weight[j] for j in range(7)) + m.bias
+            total += 0.75 * (m.slope * logit + m.offset - model.prior)
+        assert abs(model.scores([v[k : k + 1] for v in views])[0] - 1 / (1 + math.exp(-total))) < 1e-5
+
+
 def test_toxicity(spark, sf):
     found = toxicity.op9_toxicity(spark, "/root/testdata/sf0.01" if sf.endswith("sf0.001") else sf)
     rows = found.collect()

@@ -72,6 +72,8 @@ def subwords(texts: list[bytes | None], buckets: int = BUCKETS) -> tuple[np.ndar
     data, _, _, _ = word_spans(texts, folded=True)
     first = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t or b"") + 1 for t in texts], out=first[1:])
+    # a blank stands before each text, as one follows it, so that a text's subwords don't depend on its neighbours
+    data = np.concatenate([np.array([10], np.uint8), data])
     letter = (data >= 97) & (data <= 122) | (data >= 128)
     h = np.where(letter, data, 32).astype(np.uint64) + np.uint64(1)
     found, where = [], []
