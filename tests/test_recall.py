@@ -65,3 +65,11 @@ def test_blend(spark):
     got = one(recall.blended(lit("quiet mornings"), lit("we sleep late"), lit("other"), lit(0.5), lit(1), lit(3)))
     assert abs(got - (0.55 * 0.5 + 0.12 / 2 + 0.10 * 0.02 / 0.14 + 0.05 / 4)) < 1e-9
     assert [one(recall.exactish(lit(q), lit("Use WEB-01 now"))) for q in ("web-01", "now web-01", "web-02", "the", "")] == [True, True, False, False, False]
+
+
+def test_backfill_embeds_what_is_missing(spark):
+    rows = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None)], "id long, text string")
+    known = spark.createDataFrame([(2,)], "id long")
+    got = {r.id: r.embedding for r in recall.backfill(rows, known, "id", "text").collect()}
+    assert got.keys() == {1, 3} and not any(got[3])
+    assert np.allclose(got[1], recall.embed(pd.Series(["a b a"]))[0]) and abs(np.linalg.norm(got[1]) - 1) < 1e-6
