@@ -1,4 +1,4 @@
-"""Keyed facts and their state (G01-G16, M03, M04), each as one aggregation in processing order (`seq`)."""
+"""Keyed facts and their state (G01-G06, G08-G11, G13, G16, U01m, M03, M04), each as one aggregation in processing order (`seq`)."""
 
 from __future__ import annotations
 
@@ -184,7 +184,7 @@ def g09_decision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g10_tentative",
     v.with_views(
         """SELECT thing AS key, user_id AS value, count(*) AS evidence, min(ts) AS first_seen, max(ts) AS last_seen, count(*) >= 2 AND max(ts) - min(ts) >= 3600 AND (SELECT max(ts) FROM claims) - max(ts) <= 30 * 86400 AS promoted
-FROM claims GROUP BY 1, 2""",
+FROM claims GROUP BY 1, 2 HAVING (SELECT max(ts) FROM claims) - max(ts) <= 30 * 86400""",
         CLAIMS_SQL,
     ),
 )
@@ -194,27 +194,28 @@ def g10_tentative(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = c.groupBy(F.col("thing").alias("key"), F.col("user_id").alias("value")).agg(F.count("*").alias("evidence"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     now = c.agg(F.max("ts").alias("now"))
     good = (F.col("evidence") >= 2) & (F.col("last_seen") - F.col("first_seen") >= 3600) & (F.col("now") - F.col("last_seen") <= 30 * DAY)
-    return own.join(F.broadcast(now)).select("key", "value", "evidence", "first_seen", "last_seen", good.alias("promoted"))
+    live = own.join(F.broadcast(now)).filter(F.col("now") - F.col("last_seen") <= 30 * DAY)
+    return live.select("key", "value", "evidence", "first_seen", "last_seen", good.alias("promoted"))
 
 
 @query(
     "g11_consolidation",
     v.with_views(
-        """SELECT term, sessions, days, CASE WHEN sessions >= 7 AND days >= 14 THEN 2 WHEN sessions >= 3 AND days >= 2 THEN 1 ELSE 0 END AS tier, round(confidence, 6) AS confidence, confidence < 0.2 AS archived
-FROM (SELECT thing || ':' || strength || ':' || user_id % 40 AS term, count(DISTINCT user_id) AS sessions, count(DISTINCT ts // 86400) AS days,
+        """SELECT term, sessions, days, CASE WHEN sessions >= 7 AND days >= 14 THEN 2 WHEN sessions >= 3 AND days >= 2 THEN 1 ELSE 0 END AS tier, round(confidence, 6) AS confidence, confidence < 0.2 AS archived, confidence < 0.2 AND age > 30 * 86400 AS pruned
+FROM (SELECT thing || ':' || strength || ':' || user_id % 40 AS term, count(DISTINCT user_id) AS sessions, count(DISTINCT ts // 86400) AS days, (SELECT max(ts) FROM claims) - max(ts) AS age,
   least(1.0, greatest(0.0, 0.5 * pow(0.5, ((SELECT max(ts) FROM claims) - max(ts)) / 86400.0 / 90.0) * least(1 + 0.2 * ln(1 + count(*)), 1.5))) AS confidence FROM claims GROUP BY 1)""",
         CLAIMS_SQL,
     ),
 )
 def g11_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiers of terms by sessions and days, decayed confidence, and what falls below 0.2."""
+    """Tiers of terms by sessions and days, decayed confidence, what falls below 0.2, and what of that is 30 days old."""
     c = claims(spark, sf_dir)
     term = F.concat_ws(":", "thing", "strength", (F.col("user_id") % 40).cast("string")).alias("term")
     own = c.groupBy(term).agg(F.countDistinct("user_id").alias("sessions"), F.countDistinct(F.floor(F.col("ts") / DAY)).alias("days"), F.max("ts").alias("last"), F.count("*").alias("n"))
     own = own.join(F.broadcast(c.agg(F.max("ts").alias("now"))))
     confidence = scoring.decayed(F.lit(0.5), (F.col("now") - F.col("last")) / float(DAY), F.col("n"))
     tier = F.when((F.col("sessions") >= 7) & (F.col("days") >= 14), 2).when((F.col("sessions") >= 3) & (F.col("days") >= 2), 1).otherwise(0)
-    return own.select("term", "sessions", "days", tier.alias("tier"), F.round(confidence, 6).alias("confidence"), (confidence < 0.2).alias("archived"))
+    return own.select("term", "sessions", "days", tier.alias("tier"), F.round(confidence, 6).alias("confidence"), (confidence < 0.2).alias("archived"), ((confidence < 0.2) & (F.col("now") - F.col("last") > 30 * DAY)).alias("pruned"))
 
 
 @query(
@@ -259,6 +260,45 @@ def m04_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(new, "seq").select("seq", outcome.alias("outcome"))
 
 
+def merged_claims(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """U01m: a stored profile (key, value, confidence) after new claims (key, value, confidence, evidence).
+
+    An empty place takes the claim; the same value adds 0.05 to the confidence; another one replaces the value if it has
+    two pieces of evidence or the higher confidence, and else stays tentative.
+    """
+    fresh = new.select(key, F.col("value").alias("claim"), F.col("confidence").alias("sure"), "evidence")
+    both = old.join(fresh, key, "full_outer")
+    outcome = (
+        F.when(F.col("claim").isNull(), "kept")
+        .when(F.coalesce("value", F.lit("")) == "", "taken")
+        .when(F.col("claim") == F.col("value"), "confirmed")
+        .when((F.col("evidence") >= 2) | (F.col("sure") > F.col("confidence")), "replaced")
+        .otherwise("tentative")
+    )
+    moved = F.col("outcome").isin("taken", "replaced")
+    confidence = F.when(moved, F.col("sure")).when(F.col("outcome") == "confirmed", F.least(F.lit(1.0), F.col("confidence") + 0.05)).otherwise(F.col("confidence"))
+    return both.withColumn("outcome", outcome).select(key, "outcome", F.when(moved, F.col("claim")).otherwise(F.col("value")).alias("value"), confidence.alias("confidence"))
+
+
+@query(
+    "u01_merged_profile",
+    v.with_views(
+        """SELECT key, outcome, CASE WHEN outcome IN ('taken', 'replaced') THEN claim ELSE value END AS value, CAST(round(CASE WHEN outcome IN ('taken', 'replaced') THEN sure WHEN outcome = 'confirmed' THEN least(1.0, confidence + 0.05) ELSE confidence END, 6) AS DOUBLE) AS confidence
+FROM (SELECT *, CASE WHEN claim IS NULL THEN 'kept' WHEN coalesce(value, '') = '' THEN 'taken' WHEN claim = value THEN 'confirmed' WHEN evidence >= 2 OR sure > confidence THEN 'replaced' ELSE 'tentative' END AS outcome
+FROM (SELECT coalesce(a.key, b.key) AS key, value, confidence, claim, sure, evidence FROM
+  (SELECT thing || ':' || user_id AS key, arg_max(strength, seq) AS value, 0.3 + 0.1 * (count(*) % 5) AS confidence FROM claims WHERE seq % 2 = 0 GROUP BY 1) a FULL JOIN
+  (SELECT thing || ':' || user_id AS key, arg_max(strength, seq) AS claim, 0.3 + 0.1 * (count(*) % 4) AS sure, count(*) AS evidence FROM claims WHERE seq % 2 = 1 GROUP BY 1) b ON a.key = b.key))""",
+        CLAIMS_SQL,
+    ),
+)
+def u01_merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U01m over claims: those of even numbers are stored, the others come in."""
+    c = claims(spark, sf_dir).withColumn("key", F.concat_ws(":", "thing", F.col("user_id").cast("string")))
+    side = lambda rest, n: c.filter(F.col("seq") % 2 == rest).groupBy("key").agg(F.max_by("strength", "seq").alias("value"), (0.3 + 0.1 * (F.count("*") % n)).alias("confidence"), F.count("*").alias("evidence"))
+    out = merged_claims(side(0, 5).drop("evidence"), side(1, 4), "key")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
 # From which risk on a reason is hard or soft, and how many injections a session gets at most.
 HARD_RISK, SOFT_RISK, INJECTIONS = 5, 3, 6
 RECALL_PHRASES = r"\b(remember when|we (?:already|just)|didn'?t (?:we|you)|like (?:i|you) said|as (?:i|you) (?:mentioned|said)|last time|previously)\b"

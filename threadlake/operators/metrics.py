@@ -106,6 +106,24 @@ def a08_projects_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.turns(spark, sf_dir).groupBy("cwd").agg(F.sum(sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0]))).cast("long").alias("tokens"), F.count("*").alias("n_turns"))
 
 
+def busiest_project(turns: DataFrame, messages: DataFrame) -> DataFrame:
+    """The folder with the most tokens, a turn that lacks one of the counts adding nothing; without turns that of the most messages."""
+    tokens = F.sum(sum((F.col(c) for c in TOKENS[1:]), F.col(TOKENS[0]))).cast("long")
+    by_turns = turns.groupBy("cwd").agg(tokens.alias("size")).filter("size IS NOT NULL").select("cwd", "size", F.lit(1).alias("leg"))
+    by_messages = messages.groupBy("cwd").agg(F.count("*").alias("size")).select("cwd", "size", F.lit(0).alias("leg"))
+    return by_turns.unionByName(by_messages).orderBy(F.desc("leg"), F.desc("size"), "cwd").limit(1)
+
+
+@query(
+    "a08_busiest_project",
+    v.with_views(
+        "SELECT cwd, size FROM (SELECT cwd, CAST(sum(input_tokens + cache_creation_tokens + cache_read_tokens + output_tokens) AS BIGINT) AS size FROM turns GROUP BY cwd) ORDER BY size DESC, cwd LIMIT 1", v.TURNS_SQL
+    ),
+)
+def a08_busiest_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return busiest_project(v.turns(spark, sf_dir), v.messages(spark, sf_dir)).select("cwd", "size")
+
+
 def rank_sessions(messages: DataFrame, turns: DataFrame, found: DataFrame) -> DataFrame:
     """Sessions of messages or turns, with tokens, duration and corrections.
 
@@ -143,12 +161,27 @@ def a10_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_sessions(m, v.turns(spark, sf_dir), corrections(m))
 
 
+def top_sessions(sessions: DataFrame, by: str, limit: int = 10) -> DataFrame:
+    """A10: the first sessions by tokens, duration_min or n_corrections; sessions without the figure last."""
+    return sessions.orderBy(F.desc_nulls_last(by), "session_id").limit(limit)
+
+
+@query(
+    "a10_top_by_duration",
+    v.with_views("SELECT session_id, round((max(ts) - min(ts)) / 60.0, 2) AS duration_min FROM messages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", v.MESSAGES_SQL),
+)
+def a10_top_by_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: the ten longest sessions."""
+    m = v.messages(spark, sf_dir)
+    return top_sessions(rank_sessions(m, v.turns(spark, sf_dir), corrections(m)), "duration_min").select("session_id", "duration_min")
+
+
 def topics(extractions: DataFrame) -> DataFrame:
     """Facts by topic, which is the paraphrase key of corrections and the first six words of others."""
     six = F.array_join(F.slice(F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda w: w != ""), 1, 6), " ")
     key = F.when(F.col("kind") == "correction", text.correction_key(F.col("content"))).otherwise(six)
     return extractions.withColumn("topic", key).groupBy("topic").agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.min_by("content", "id").alias("example")
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.min_by("content", "id").alias("example"), F.min("id").alias("first_id")
     )
 
 
@@ -162,7 +195,20 @@ FROM (SELECT *, CASE WHEN kind = 'correction' THEN {text.correction_key_sql("con
     ),
 )
 def a11_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topics(v.extractions(spark, sf_dir))
+    return topics(v.extractions(spark, sf_dir)).drop("first_id")
+
+
+@query(
+    "a11_top_topics",
+    v.with_views(
+        f"""SELECT topic, count(*) AS n FROM (SELECT *, CASE WHEN kind = 'correction' THEN {text.correction_key_sql("content")}
+  ELSE array_to_string((list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda w: w <> ''))[1:6], ' ') END AS topic FROM extractions) GROUP BY topic ORDER BY n DESC, min(id) LIMIT 20""",
+        v.EXTRACTIONS_SQL,
+    ),
+)
+def a11_top_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest topics, of equal ones the earliest."""
+    return topics(v.extractions(spark, sf_dir)).orderBy(F.desc("n"), "first_id").limit(20).select("topic", "n")
 
 
 def health(runs: DataFrame, days: int = 7) -> DataFrame:
@@ -201,6 +247,12 @@ def a14_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("a14_top_folders", v.with_views("SELECT cwd, count(*) AS n FROM messages GROUP BY 1 ORDER BY n DESC, cwd LIMIT 10", v.MESSAGES_SQL))
+def a14_top_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten folders with the most messages."""
+    return v.messages(spark, sf_dir).groupBy("cwd").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cwd").limit(10)
+
+
 @query(
     "a16_top_topics",
     v.with_views(

@@ -1,4 +1,4 @@
-"""Folds fed by the extraction rules, and short answers from them."""
+"""Folds fed by the extraction rules, and short answers from them."""
 
 from __future__ import annotations
 
@@ -165,3 +165,45 @@ def n31_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     m = v.messages(spark, sf_dir).withColumn("before", F.lag("text").over(W.partitionBy("session_id").orderBy("seq"))).filter("before IS NOT NULL")
     return m.select("message_uuid", t.echoes(F.col("text"), F.col("before")).alias("echo"))
+
+
+# What announces another subject.
+PIVOT = r"\b(now|instead|switch(?:ing)?|pivot|actually|let'?s\s+(?:do|work|check|look)|back\s+to|move\s+(?:on\s+)?to|forget\s+that|new\s+topic)\b"
+SCOPES = {"storage": ["sqlite", "parquet", "database"], "compute": ["spark", "pandas"], "release": ["ship", "deploy", "build"], "checks": ["test", "mock"]}
+
+
+def scope_shifts(messages: DataFrame, scopes: dict[str, list[str]]) -> DataFrame:
+    """User messages whose leading scope, by keywords, isn't that of most of the five before them, with how sure that is.
+
+    Scopes earlier in `scopes` win ties within a message, those seen earlier win ties among messages.
+    """
+    from pyspark.sql import Window as W
+
+    low = F.lower("text")
+    hits = [sum((F.when(low.contains(k), 1).otherwise(0) for k in words), F.lit(0)) for words in scopes.values()]
+    most = F.greatest(*hits) if len(hits) > 1 else hits[0]
+    lead = F.coalesce(*(F.when((n == most) & (most > 0), name) for name, n in zip(scopes, hits, strict=True)))
+    u = messages.filter("role = 'user'").withColumn("scope", lead).withColumn("hits", most)
+    before = F.collect_list("scope").over(W.partitionBy("session_id").orderBy("seq").rowsBetween(-5, -1))
+    ranked = F.transform(F.array_distinct("before"), lambda s: F.struct((-F.size(F.filter("before", lambda x: x == s))).alias("n"), F.array_position("before", s).alias("at"), s.alias("scope")))
+    u = u.withColumn("before", before).withColumn("recent", F.array_min(ranked)["scope"])
+    pivot = low.rlike(PIVOT)
+    sure = F.least(F.lit(1.0), 0.6 + F.when(pivot, 0.3).otherwise(0.0) + F.least(0.1 * F.col("hits"), F.lit(0.2)))
+    shifted = u.filter("scope IS NOT NULL AND NOT scope <=> recent").withColumn("confidence", F.round(sure, 6)).withColumn("reason", F.when(pivot, "keyword+pivot").otherwise("keyword"))
+    return shifted.filter("confidence >= 0.7").select("message_uuid", "scope", "recent", "reason", "confidence")
+
+
+def _scope_sql() -> str:
+    hits = {name: "(" + " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in words) + ")" for name, words in SCOPES.items()}
+    most = f"greatest({', '.join(hits.values())})"
+    lead = "CASE " + " ".join(f"WHEN {n} = {most} AND {most} > 0 THEN '{name}'" for name, n in hits.items()) + " END"
+    pivot = f"regexp_matches(lower(text), {t.quoted(PIVOT)})"
+    counted = "list_transform(list_distinct(before), lambda s: {'n': -len(list_filter(before, lambda x: x = s)), 'at': list_position(before, s), 'scope': s})"
+    return f"""SELECT message_uuid, scope, recent, CASE WHEN turned THEN 'keyword+pivot' ELSE 'keyword' END AS reason, confidence FROM (SELECT *, CAST(round(least(1.0, 0.6 + CASE WHEN turned THEN 0.3 ELSE 0.0 END + least(0.1 * hits, 0.2)), 6) AS DOUBLE) AS confidence
+FROM (SELECT *, (list_sort({counted}))[1].scope AS recent FROM (SELECT *, coalesce(list(scope) FILTER (WHERE scope IS NOT NULL) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS before
+FROM (SELECT *, {lead} AS scope, {most} AS hits, {pivot} AS turned FROM messages WHERE role = 'user')))) WHERE scope IS NOT NULL AND scope IS DISTINCT FROM recent AND confidence >= 0.7"""
+
+
+@query("n33_scope_shifts", v.with_views(_scope_sql(), v.MESSAGES_SQL))
+def n33_scope_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope_shifts(v.messages(spark, sf_dir), SCOPES)
