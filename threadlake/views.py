@@ -26,7 +26,7 @@ USER_PHRASES = [
     "we chose spark over pandas because it scales. ",
     "why did you delete it? ",
     "deploy it ",
-    "",
+    "[x] parser ~80 %\n[ ] docs\n",
     "",
 ]
 ASSISTANT_PHRASES = [
