@@ -32,10 +32,19 @@ def g14_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projected(extract.x09_bans(spark, sf_dir), v.messages(spark, sf_dir), keys)
 
 
-@query("g14_failed_attempts", v.with_views(_projected_sql(extract.failed_sql(), "lower(attempt) AS attempt, project_key"), v.MESSAGES_SQL))
+@query(
+    "g14_failed_attempts",
+    v.with_views(
+        f"""SELECT lower(attempt) AS attempt, project_key, count(*) AS times, min(ts) AS attempted_ts, arg_max(replaced_by, (seq, replaced_by)) FILTER (WHERE replaced_by IS NOT NULL) AS replaced_by,
+  arg_max(reason, (seq, reason)) FILTER (WHERE reason IS NOT NULL) AS reason FROM ({extract.failed_sql()}) x JOIN messages USING (message_uuid) GROUP BY 1, 2""",
+        v.MESSAGES_SQL,
+    ),
+)
 def g14_failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failed attempts by attempt and project."""
-    return projected(extract.x10_failed_attempts(spark, sf_dir), v.messages(spark, sf_dir), {"attempt": F.lower("attempt"), "project_key": F.col("project_key")})
+    """Failed attempts by attempt, in any case, and project: the first time, and the latest successor and reason that were given."""
+    found = extract.x10_failed_attempts(spark, sf_dir).join(v.messages(spark, sf_dir).select("message_uuid", "project_key", "ts", "seq"), "message_uuid")
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c)
+    return found.groupBy(F.lower("attempt").alias("attempt"), "project_key").agg(F.count("*").alias("times"), F.min("ts").alias("attempted_ts"), latest("replaced_by"), latest("reason"))
 
 
 def about(attempts: DataFrame, topic: str) -> DataFrame:
