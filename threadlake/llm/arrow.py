@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -83,16 +84,23 @@ def workdir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def saved(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{folder or workdir(spark)}/{label}-{uuid.uuid4().hex}"
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that end in here leave no shuffle files behind."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
+def saved(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = f"{folder or workdir(spark)}/{label}-{uuid.uuid4().hex}"
+    with freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
