@@ -1,6 +1,6 @@
 """The corpus queries and, where SQL can state them, their SQL."""
 
-from threadlake.llm import contamination, exact, langid, lm, mixing, neardup, pii, quality, substring, toxicity
+from threadlake.llm import contamination, divergence, exact, langid, lm, manifest, mixing, neardup, pii, quality, sharding, substring, toxicity
 
 QUERIES = {
     "op1_benchmark_decontamination": contamination.op1_benchmark_decontamination,
@@ -13,10 +13,16 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substring.op10_substring_dedup,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_merkle_manifest": manifest.op12_merkle_manifest,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 SQL = {
     "op1_benchmark_decontamination": contamination.SQL,
     "op2_exact_dedup": exact.SQL,
     "op10_substring_dedup": substring.SQL,
+    "op11_sharding": sharding.SQL,
+    "op12_merkle_manifest": manifest.SQL,
+    "op13_source_divergence": divergence.SQL,
 }

@@ -18,6 +18,7 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _FOLD = np.frombuffer(FOLD, np.uint8)
 FOLDED = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 SPACED = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+LETTERS = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 FOLDED_RE = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -59,13 +60,13 @@ class Words:
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
 
-def word_spans(texts: Sequence[bytes | None], folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined bytes, word starts and ends in them, and each text's first word."""
+def word_spans(texts: Sequence[bytes | None], folded: bool, kind: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes, word starts and ends in them, and each text's first word. `kind`: the bytes of a word, if others."""
     parts = [t or b"" for t in texts]
     data = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     if folded:
         data = _FOLD[data]
-    inside = (FOLDED if folded else SPACED)[data].view(np.int8)
+    inside = (kind if kind is not None else FOLDED if folded else SPACED)[data].view(np.int8)
     step = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
     starts, ends = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     first = np.zeros(len(parts) + 1, np.int64)
@@ -73,9 +74,9 @@ def word_spans(texts: Sequence[bytes | None], folded: bool) -> tuple[np.ndarray,
     return data, starts, ends, np.searchsorted(starts, first)
 
 
-def hash_words(texts: Sequence[bytes | None], folded: bool = True) -> Words:
+def hash_words(texts: Sequence[bytes | None], folded: bool = True, kind: np.ndarray | None = None) -> Words:
     """Null and empty texts have no words."""
-    data, starts, ends, offsets = word_spans(texts, folded)
+    data, starts, ends, offsets = word_spans(texts, folded, kind)
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
