@@ -29,7 +29,7 @@ from threadlake.llm.words import LETTERS, hash_words, mix
 LEAST_DOCS = 3
 TOP = 200
 SCALE = 1_000_000_000
-PIECE = 8 << 20
+PIECE = 4 << 20
 HELD = 1 << 19
 
 _COUNTS = "lang string, source string, term string, n long, docs long"
@@ -116,13 +116,14 @@ def _f(p, q):
 
 
 class Path:
-    """The open path of a tree; what leaves it is final."""
+    """The open path of a tree; what leaves it is final, and is met with its ancestors many nodes at a time."""
 
     def __init__(self):
         self.items: list[tuple[int, int, int]] = []
         self.terms: list[int] = []
-        self.p, self.zero, self.place = (np.zeros(8, np.int64) for _ in range(3))
-        self.found: list[tuple[np.ndarray, ...]] = []
+        self.nodes = np.zeros((3, 8), np.int64)  # place, rate and rate of a zero count, for each item
+        self.above: list[np.ndarray] = []
+        self.final: list[tuple[int, int, int, int, int]] = []
         self.held = 0
 
     def insert(self, row: list[tuple[int, int, int]], m: int, v: int) -> None:
@@ -130,35 +131,36 @@ class Path:
         while shared < min(len(row), len(self.items)) and row[shared] == self.items[shared]:
             shared += 1
         self.close(shared)
+        if len(row) > self.nodes.shape[1]:
+            self.nodes = np.concatenate([self.nodes, np.zeros((3, len(row)), np.int64)], axis=1)
         for place, size, n in row[shared:]:
-            k = len(self.items)
-            if k == len(self.p):
-                self.p, self.zero, self.place = (np.concatenate([x, x]) for x in (self.p, self.zero, self.place))
-            self.p[k], self.zero[k], self.place[k] = 1 + SCALE * (n + 1) // (size + v), 1 + SCALE // (size + v), place
+            self.nodes[:, len(self.items)] = place, 1 + SCALE * (n + 1) // (size + v), 1 + SCALE // (size + v)
             self.items.append((place, size, n))
             self.terms.append(0)
         self.terms[-1] += m
 
     def close(self, depth: int = 0) -> None:
-        """Nodes below `depth` are final: each is met with its ancestors, and its terms pass through its parent."""
+        """Nodes below `depth` are final; their terms pass through their parents too."""
         while len(self.items) > depth:
             k = len(self.items) - 1
             m = self.terms.pop()
             self.items.pop()
-            if not k:
-                continue
-            self.terms[-1] += m
-            p, z, pn, zn = self.p[:k], self.zero[:k], self.p[k], self.zero[k]
-            down = _f(p, pn) - _f(p, zn) - _f(z, pn) + _f(z, zn)
-            up = _f(pn, p) - _f(pn, z) - _f(zn, p) + _f(zn, z)
-            self.found.append((self.place[:k].copy(), np.full(k, self.place[k]), m * down, m * up))
-            self.held += k
+            if k:
+                self.terms[-1] += m
+                self.above.append(self.nodes[:, :k].copy())
+                self.final.append((k, m, *self.nodes[:, k].tolist()))
+                self.held += k
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Corrections so far, by source and other source."""
-        a, b, down, up = (np.concatenate([x[i] for x in self.found]) if self.found else np.zeros(0, np.int64) for i in range(4))
-        self.found, self.held = [], 0
-        one, other, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([down, up])
+        """Corrections of the final nodes with their ancestors so far, by source and other source."""
+        above = np.concatenate(self.above, axis=1) if self.above else np.zeros((3, 0), np.int64)
+        k, *rest = (np.array(x, np.int64) for x in zip(*self.final, strict=True)) if self.final else [np.zeros(0, np.int64)] * 5
+        m, node, pn, zn = (np.repeat(x, k) for x in rest)
+        self.above, self.final, self.held = [], [], 0
+        place, p, z = above
+        down = _f(p, pn) - _f(p, zn) - _f(z, pn) + _f(z, zn)
+        up = _f(pn, p) - _f(pn, z) - _f(zn, p) + _f(zn, z)
+        one, other, value = np.concatenate([place, node]), np.concatenate([node, place]), np.concatenate([m * down, m * up])
         order = np.lexsort((other, one))
         one, other, value = one[order], other[order], value[order]
         first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (other[1:] != other[:-1]))) if len(one) else np.zeros(0, np.int64)
@@ -180,12 +182,15 @@ def _trees(limit: int):
 
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
-                for at, v, row, m in zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns), strict=True):
+                langs, sizes, rows, counts = batch.slice(i, 1000).columns
+                items = list(zip(*(x.to_pylist() for x in rows.flatten().flatten()), strict=True))
+                ends = np.cumsum(rows.value_lengths().to_numpy()).tolist()
+                for at, v, a, b, m in zip(langs.to_pylist(), sizes.to_pylist(), [0, *ends[:-1]], ends, counts.to_pylist(), strict=True):
                     if at != lang:
                         path.close()
                         yield emit()
                         lang = at
-                    path.insert([(x["place"], x["size"], x["n"]) for x in row], m, v)
+                    path.insert(items[a:b], m, v)
                     if path.held > limit:
                         yield emit()
         path.close()
@@ -209,7 +214,7 @@ def source_pairs(terms: DataFrame, groups: DataFrame, held: int = HELD) -> DataF
     single = counts.join(one.select("lang", "place", "size", "terms"), ["lang", "place"]).join(other, "lang").filter("place <> other AND terms > 0")
     single = single.withColumns({"p": rate("n", "size", "terms"), "z": rate("0L", "size", "terms"), "q": rate("0L", "other_size", "terms")})
     single = single.withColumns({"from": divergence("p", "q") - divergence("z", "q"), "to": divergence("q", "p") - divergence("q", "z")})
-    single = single.groupBy("lang", "place", "other").agg(*(F.sum((F.col(x) * F.col("m")).cast("decimal(38,0)")).alias(x) for x in ("from", "to")))
+    single = single.groupBy("lang", "place", "other").agg(*(F.sum(F.col(x).cast("decimal(38,0)") * F.col("m")).alias(x) for x in ("from", "to")))
     flipped = single.select("lang", F.col("other").alias("place"), F.col("place").alias("other"), F.col("to").alias("part"))
     parts = both.unionByName(single.select("lang", "place", "other", F.col("from").alias("part"))).unionByName(flipped)
     parts = parts.groupBy("lang", "place", "other").agg(F.sum("part").alias("part"))
