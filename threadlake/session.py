@@ -22,12 +22,15 @@ def build(master: str = "local[8]", partitions: int = 8, **options: str) -> Spar
     return b.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; a local session that has none gets one of its own."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a local session that has none uses /tmp/checkpoints."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not context.master.startswith("local["):
+    if not found and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(found or "file:///tmp/checkpoints")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the shared folder, unless the session has a folder for them."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
