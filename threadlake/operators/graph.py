@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from threadlake import views as v
 from threadlake.operators import extract
 from threadlake.queries import query
+from threadlake.session import written
 
 
 def eligible(messages: DataFrame) -> DataFrame:
-    """Messages that are nodes of their session's graph."""
-    return messages.filter(F.col("message_uuid").isNotNull() & F.col("role").isin("assistant", "user", "system"))
+    """Messages that are nodes of their session's graph: no side-chains, and of records that repeat a uuid the last."""
+    own = messages.filter(F.col("message_uuid").isNotNull() & F.col("role").isin("assistant", "user", "system"))
+    if "is_sidechain" in messages.columns:
+        own = own.filter(~F.coalesce("is_sidechain", F.lit(False)))
+    return last_written(own)
+
+
+def last_written(messages: DataFrame) -> DataFrame:
+    """Of records with the same uuid in a session the one that was written last."""
+    order = W.partitionBy("session_id", "message_uuid").orderBy(F.desc("seq"))
+    return messages.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
 def edges(messages: DataFrame) -> DataFrame:
@@ -27,17 +37,20 @@ def edges(messages: DataFrame) -> DataFrame:
     )
 
 
+NODES_SQL = f"{v.THREADS_SQL}, nodes AS (SELECT * FROM threads WHERE NOT is_sidechain)"
+
+
 @query(
     "e02_dag",
     v.with_views(
         """SELECT m.session_id, m.message_uuid, m.parent_uuid, p.message_uuid IS NULL AS is_root, c.n IS NULL AS is_leaf, coalesce(c.n, 0) AS children
-FROM messages m LEFT JOIN messages p ON m.session_id = p.session_id AND m.parent_uuid = p.message_uuid
-LEFT JOIN (SELECT session_id, parent_uuid, count(*) AS n FROM messages WHERE parent_uuid IS NOT NULL GROUP BY 1, 2) c ON m.session_id = c.session_id AND m.message_uuid = c.parent_uuid""",
-        v.MESSAGES_SQL,
+FROM nodes m LEFT JOIN nodes p ON m.session_id = p.session_id AND m.parent_uuid = p.message_uuid
+LEFT JOIN (SELECT session_id, parent_uuid, count(*) AS n FROM nodes WHERE parent_uuid IS NOT NULL GROUP BY 1, 2) c ON m.session_id = c.session_id AND m.message_uuid = c.parent_uuid""",
+        NODES_SQL,
     ),
 )
 def e02_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges(v.messages(spark, sf_dir))
+    return edges(v.threads(spark, sf_dir))
 
 
 def longest(nodes: DataFrame) -> int:
@@ -45,42 +58,67 @@ def longest(nodes: DataFrame) -> int:
     return nodes.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def pointers(nodes: DataFrame, *more: str) -> DataFrame:
+    """(session_id, node, up, ...): each node's parent, if that is a node."""
+    ids = nodes.select("session_id", F.col("message_uuid").alias("parent_uuid"), F.col("message_uuid").alias("up"))
+    return nodes.join(ids, ["session_id", "parent_uuid"], "left").select("session_id", F.col("message_uuid").alias("node"), "up", *more)
+
+
+def nearest_ancestor(nodes: DataFrame, marked: Column, hops: int | None = None) -> DataFrame:
+    """(session_id, node, ancestor, hop): the first node above each one for which `marked` holds, if it is at most `hops` above.
+
+    Pointers double: after k rounds each knows the first marked one of its 2**k nearest ancestors and the node above these. Only nodes
+    that have found nothing and have something above them take part in a round; what goes around a cycle is left out in the end.
+    """
+    state = pointers(nodes.withColumn("_marked", F.coalesce(marked, F.lit(False))), "_marked")
+    parents = state.select("session_id", F.col("node").alias("up"), F.col("_marked").alias("hit"))
+    state = state.join(parents, ["session_id", "up"], "left").select("session_id", "node", "up", F.when(F.col("hit"), F.col("up")).alias("ancestor"), F.when(F.col("hit"), 1).alias("hop"))
+    state = written(state, "ancestors")
+    span, most = 1, longest(nodes)
+    while span < min(most, hops or most):
+        still = F.col("ancestor").isNull() & F.col("up").isNotNull()
+        above = state.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("ancestor").alias("found"), F.col("hop").alias("more"))
+        climbed = state.filter(still).join(above, ["session_id", "up"]).select("session_id", "node", F.col("up2").alias("up"), F.col("found").alias("ancestor"), (F.col("more") + span).alias("hop"))
+        state = written(state.filter(~still).unionByName(climbed), "ancestors")
+        span *= 2
+        if not state.filter(still).limit(1).count():
+            break
+    return state.filter(F.col("ancestor").isNotNull() & (F.col("hop") <= (hops or most))).select("session_id", "node", "ancestor", "hop")
+
+
 def depths(messages: DataFrame) -> DataFrame:
-    """Each node's distance from its root and the root, by doubling: after k rounds every pointer skips 2**k nodes.
+    """Each node's number of nodes from its root, which counts 1, and the root.
 
-    A cycle has no root; its nodes are cut off after as many steps as the largest session has nodes and keep a null root.
+    After k rounds every pointer skips 2**k nodes. A cycle has no root; its nodes are cut off after as many steps as the
+    largest session has nodes, with a null root and depth 0.
     """
-    nodes = eligible(messages).select("session_id", F.col("message_uuid").alias("node"), F.col("parent_uuid").alias("up"))
-    ids = nodes.select("session_id", F.col("node").alias("up"), F.lit(1).alias("there"))
-    state = nodes.join(ids, ["session_id", "up"], "left").select("session_id", "node", F.when(F.col("there").isNotNull(), F.col("up")).alias("up"), F.when(F.col("there").isNotNull(), 1).otherwise(0).alias("depth"))
-    state = state.withColumn("root", F.when(F.col("up").isNull(), F.col("node")))
+    nodes = eligible(messages)
+    state = written(pointers(nodes).withColumns({"depth": F.lit(1), "root": F.when(F.col("up").isNull(), F.col("node"))}), "depths")
     span, most = 1, longest(nodes)
     while span < most:
         above = state.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("root").alias("root2"))
-        state = state.join(above, ["session_id", "up"], "left").select(
-            "session_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("root", "root2").alias("root")
+        climbed = state.filter("up IS NOT NULL").join(above, ["session_id", "up"]).select(
+            "session_id", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("root2").alias("root")
         )
-        state = state.checkpoint()
+        state = written(state.filter("up IS NULL").unionByName(climbed), "depths")
         span *= 2
         if not state.filter("up IS NOT NULL").limit(1).count():
             break
-    return state.select("session_id", "node", "depth", "root")
+    return state.select("session_id", "node", F.when(F.col("root").isNull(), 0).otherwise(F.col("depth")).alias("depth"), "root")
 
 
-@query(
-    "e04_depths",
-    v.with_views(
-        """SELECT session_id, node, depth, root FROM walk""",
-        v.MESSAGES_SQL,
-        """walk AS (SELECT session_id, message_uuid AS node, 0 AS depth, message_uuid AS root FROM messages WHERE parent_uuid IS NULL
-  UNION ALL SELECT m.session_id, m.message_uuid, w.depth + 1, w.root FROM messages m JOIN walk w ON m.session_id = w.session_id AND m.parent_uuid = w.node)""",
-    ).replace("WITH", "WITH RECURSIVE", 1),
-)
-def e04_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from threadlake.session import ensure_checkpoint_dir
+WALK_SQL = f"""{NODES_SQL}, walk AS (
+  SELECT session_id, message_uuid AS node, 1 AS depth, message_uuid AS root, ts, seq FROM nodes WHERE parent_uuid IS NULL OR parent_uuid NOT IN (SELECT message_uuid FROM nodes)
+  UNION ALL SELECT m.session_id, m.message_uuid, w.depth + 1, w.root, m.ts, m.seq FROM nodes m JOIN walk w ON m.session_id = w.session_id AND m.parent_uuid = w.node)"""
+
+
+def recursive(sql: str, *views: str) -> str:
+    return v.with_views(sql, *views).replace("WITH", "WITH RECURSIVE", 1)
+
 
-    ensure_checkpoint_dir(spark)
-    return depths(v.messages(spark, sf_dir))
+@query("e04_depths", recursive("SELECT session_id, node, depth, root FROM walk", WALK_SQL))
+def e04_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return depths(v.threads(spark, sf_dir))
 
 
 def linearised(messages: DataFrame, policy: str = "deepest", leaves: DataFrame | None = None) -> DataFrame:
@@ -90,50 +128,67 @@ def linearised(messages: DataFrame, policy: str = "deepest", leaves: DataFrame |
     that `leaves` (session_id, message_uuid) names; one that isn't there has no path. A leaf above which is a
     cycle counts as depth 0, and its path ends where it would repeat; where no node is a leaf, any may be chosen.
     """
-    nodes = eligible(messages).select("session_id", F.col("message_uuid").alias("node"), "parent_uuid", "ts", "seq", "role")
+    nodes = eligible(messages).select("session_id", "message_uuid", F.col("message_uuid").alias("node"), "parent_uuid", "ts", "seq", "role")
     if leaves is None:
-        deep = F.when(F.col("root").isNotNull(), F.col("depth") + 1).otherwise(0)
         found = edges(messages).select("session_id", F.col("message_uuid").alias("node"), "is_leaf")
         late = [F.coalesce("ts", F.lit(0)), F.col("seq")]
         if policy == "deepest":
-            found, late = found.join(depths(messages).withColumn("deep", deep), ["session_id", "node"]), [F.col("deep"), *late]
+            found, late = found.join(depths(messages), ["session_id", "node"]), [F.col("depth"), *late]
         chosen = nodes.join(found, ["session_id", "node"]).groupBy("session_id").agg(F.max_by("node", F.struct("is_leaf", *late)).alias("node"))
     else:
         chosen = nodes.select("session_id", "node").join(leaves.toDF("session_id", "node"), ["session_id", "node"], "left_semi")
-    ids = nodes.select("session_id", F.col("node").alias("up"))
-    pointers = nodes.select("session_id", "node", F.col("parent_uuid").alias("up")).join(ids, ["session_id", "up"], "left_semi").checkpoint()
-    path = chosen.withColumn("steps", F.lit(0))  # the first 2**k nodes from the leaf after k rounds
+    state = written(pointers(nodes).join(chosen.withColumn("steps", F.lit(0)), ["session_id", "node"], "left"), "path")
     span, most = 1, longest(nodes)
-    while span < most:
-        more = path.join(pointers, ["session_id", "node"]).select("session_id", F.col("up").alias("node"), (F.col("steps") + span).alias("steps"))
-        path = path.unionByName(more).groupBy("session_id", "node").agg(F.min("steps").alias("steps")).checkpoint()
-        above = pointers.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"))
-        pointers = pointers.join(above, ["session_id", "up"]).select("session_id", "node", F.col("up2").alias("up")).checkpoint()
+    while span < most:  # after k rounds the first 2**k nodes from the leaf have their number of steps
+        marks = state.filter("steps IS NOT NULL AND up IS NOT NULL").groupBy("session_id", F.col("up").alias("node")).agg((F.min("steps") + span).alias("mark"))
+        above = state.select("session_id", F.col("node").alias("up"), F.col("up").alias("up2"))
+        state = state.join(above, ["session_id", "up"], "left").join(marks, ["session_id", "node"], "left")
+        state = written(state.select("session_id", "node", F.col("up2").alias("up"), F.coalesce("steps", "mark").alias("steps")), "path")
         span *= 2
-        if pointers.isEmpty():
+        if not state.filter("up IS NOT NULL").limit(1).count():
             break
+    path = state.filter("steps IS NOT NULL").drop("up")
     last = path.groupBy("session_id").agg(F.max("steps").alias("last"))
     out = path.join(last, "session_id").join(nodes, ["session_id", "node"])
-    return out.select("session_id", F.col("node").alias("message_uuid"), (F.col("last") - F.col("steps") + 1).alias("position"), "role")
+    return out.select("session_id", "message_uuid", (F.col("last") - F.col("steps") + 1).alias("position"), "role")
 
 
 @query(
     "e05_linearised",
-    v.with_views("SELECT session_id, message_uuid, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS position, role FROM messages", v.MESSAGES_SQL),
+    recursive(
+        """SELECT session_id, message_uuid, position, role FROM up JOIN nodes USING (session_id, message_uuid)""",
+        WALK_SQL,
+        """chosen AS (SELECT session_id, arg_max(node, depth * 1000000000000000 + ts * 100000 + seq % 100000) AS message_uuid FROM walk WHERE node NOT IN (SELECT parent_uuid FROM nodes WHERE parent_uuid IS NOT NULL) GROUP BY 1),
+up AS (SELECT w.session_id, w.node AS message_uuid, w.depth AS position FROM walk w JOIN chosen c ON w.session_id = c.session_id AND w.node = c.message_uuid
+  UNION ALL SELECT u.session_id, n.parent_uuid, u.position - 1 FROM up u JOIN nodes n ON n.message_uuid = u.message_uuid AND n.session_id = u.session_id WHERE u.position > 1)""",
+    ),
 )
 def e05_linearised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from threadlake.session import ensure_checkpoint_dir
+    return linearised(v.threads(spark, sf_dir))
+
+
+def above_sql(name: str, start: str, role: str, hops: int | None = None, table: str = "nodes") -> str:
+    """`name` (message_uuid, ancestor): the nearest message of a role above those of `start`."""
+    far = f" AND hop < {hops}" if hops else ""
+    return f"""{name}_walk AS (SELECT message_uuid, parent_uuid AS up, 1 AS hop FROM {table} WHERE {start}
+  UNION ALL SELECT w.message_uuid, n.parent_uuid, hop + 1 FROM {name}_walk w JOIN {table} n ON n.message_uuid = w.up WHERE n.role <> '{role}'{far}),
+{name} AS (SELECT w.message_uuid, w.up AS ancestor FROM {name}_walk w JOIN {table} n ON n.message_uuid = w.up WHERE n.role = '{role}')"""
+
 
-    ensure_checkpoint_dir(spark)
-    return linearised(v.messages(spark, sf_dir))
+@query("j08_user_above", recursive("SELECT message_uuid, ancestor FROM a", NODES_SQL, above_sql("a", "role = 'assistant'", "user", 6)))
+def j08_user_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each message of the assistant the nearest user's message above it in the graph, within six steps."""
+    nodes = eligible(v.threads(spark, sf_dir))
+    found = nearest_ancestor(nodes, F.col("role") == "user", 6).withColumnRenamed("node", "message_uuid")
+    return found.join(nodes.filter("role = 'assistant'"), ["session_id", "message_uuid"], "left_semi").select("message_uuid", "ancestor")
 
 
-def _role_before(column: str, role: str) -> F.Column:
+def _role_before(column: str, role: str) -> Column:
     order = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     return F.last(F.when(F.col("role") == role, F.col(column)), ignorenulls=True).over(order)
 
 
-def _role_after(column: str, role: str, within: int) -> F.Column:
+def _role_after(column: str, role: str, within: int) -> Column:
     order = W.partitionBy("session_id").orderBy("seq").rowsBetween(1, within)
     return F.first(F.when(F.col("role") == role, F.col(column)), ignorenulls=True).over(order)
 

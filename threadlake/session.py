@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(master: str = "local[8]", partitions: int = 8, **options: str) -> SparkSession:
@@ -34,3 +36,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the shared folder, unless the session has a folder for them."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df` as Parquet in the shared folder: cuts lineage, survives lost executors, and its size is known anew.
+
+    The size is why loops use this and not checkpoint(): what is read from a checkpoint keeps the estimate of its plan, which
+    a join squares, so that after some rounds the planner works on numbers of many thousand digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -78,6 +78,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as graphs: some hang on the message before the last one, so that sessions branch, and some are side-chains."""
+    conv, turn = F.floor(F.col("seq") / 1000).cast("long"), F.col("seq") % 1000
+    back = F.concat_ws("-", conv.cast("string"), (turn - 2).cast("string"))
+    m = messages(spark, sf_dir)
+    return m.withColumns({"parent_uuid": F.when((turn >= 2) & ((conv * 7 + turn) % 5 == 0), back).otherwise(F.col("parent_uuid")), "is_sidechain": (turn > 0) & ((conv + turn) % 9 == 0)})
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
@@ -137,6 +145,10 @@ MESSAGES_SQL = f"""messages AS (
       WHEN 'assistant' THEN ({_sql_list(ASSISTANT_PHRASES)})[(conv_id * 31 + turn) % {len(ASSISTANT_PHRASES)} + 1] END, '') || coalesce(text, '') AS text
   FROM conversations)"""
 
+THREADS_SQL = f"""{MESSAGES_SQL}, threads AS (
+  SELECT seq, session_id, cwd, project_key, role, kind, ts, CASE WHEN seq % 1000 >= 2 AND (seq // 1000 * 7 + seq % 1000) % 5 = 0 THEN (seq // 1000) || '-' || (seq % 1000 - 2) ELSE parent_uuid END AS parent_uuid,
+    message_uuid, source, text, seq % 1000 > 0 AND (seq // 1000 + seq % 1000) % 9 = 0 AS is_sidechain FROM messages)"""
+
 TURNS_SQL = """turns AS (
   SELECT 'u' || user_id AS session_id, '/proj/p' || user_id % 7 AS cwd, CAST(floor(epoch(ts)) AS BIGINT) AS ts,
     CASE event_type WHEN 'click' THEN 'claude-sonnet-4' WHEN 'view' THEN 'claude-opus-4' WHEN 'purchase' THEN 'gpt-5' WHEN 'signup' THEN 'gemini-2.5-pro' END AS model,
