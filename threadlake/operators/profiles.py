@@ -9,39 +9,41 @@ from pyspark.sql import Window as W
 from threadlake import views as v
 from threadlake.functions import scoring
 from threadlake.functions import text as t
+from threadlake.operators.ancestors import above_sql, last_written, recursive, with_above
 from threadlake.queries import query
 
 
-REACTED_SQL = f"""SELECT reaction, behaviour, session_id, ts FROM (SELECT {t.REACTION_SQL.format("text")} AS reaction, role, session_id, ts,
-  last_value(CASE WHEN role = 'assistant' THEN {t.BEHAVIOUR_SQL.format("text")} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS behaviour FROM messages)
-WHERE role = 'user' AND reaction IS NOT NULL AND behaviour IS NOT NULL"""
+REACTED_VIEWS = (v.THREADS_SQL, above_sql("prior", "role = 'user' AND NOT is_sidechain", "assistant", table="threads"))
+REACTED_SQL = f"""SELECT {t.REACTION_SQL.format("u.text")} AS reaction, {t.BEHAVIOUR_SQL.format("a.text")} AS behaviour, u.session_id, u.ts
+  FROM threads u JOIN prior p ON p.message_uuid = u.message_uuid JOIN threads a ON a.message_uuid = p.ancestor WHERE reaction IS NOT NULL AND behaviour IS NOT NULL"""
 
 
 def reacted(messages: DataFrame) -> DataFrame:
-    """users' reactions with what the assistant's message before them looked like."""
-    order = W.partitionBy("session_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    m = messages.withColumn("behaviour", F.last(F.when(F.col("role") == "assistant", t.behaviour(F.col("text"))), ignorenulls=True).over(order))
-    return m.filter("role = 'user' AND behaviour IS NOT NULL").withColumn("reaction", t.reaction(F.col("text"))).filter("reaction IS NOT NULL")
+    """users' reactions with what the nearest message of the assistant above them looked like; side-chains don't react."""
+    nodes = last_written(messages.filter("message_uuid IS NOT NULL"))
+    own = nodes.filter("role = 'user' AND NOT coalesce(is_sidechain, false)").withColumn("reaction", t.reaction(F.col("text"))).filter("reaction IS NOT NULL")
+    found = with_above(own, nodes, F.col("role") == "assistant", "prior").withColumn("behaviour", t.behaviour(F.col("prior_text")))
+    return found.filter("prior_uuid IS NOT NULL AND behaviour IS NOT NULL")
 
 
-@query("a20_satisfaction", v.with_views(f"SELECT reaction, behaviour, count(*) AS n FROM ({REACTED_SQL}) GROUP BY 1, 2", v.MESSAGES_SQL))
+@query("a20_satisfaction", recursive(f"SELECT reaction, behaviour, count(*) AS n FROM ({REACTED_SQL}) GROUP BY 1, 2", *REACTED_VIEWS))
 def a20_satisfaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reactions by the assistant's behaviour before them."""
-    return reacted(v.messages(spark, sf_dir)).groupBy("reaction", "behaviour").agg(F.count("*").alias("n"))
+    return reacted(v.threads(spark, sf_dir)).groupBy("reaction", "behaviour").agg(F.count("*").alias("n"))
 
 
 @query(
     "u06_best_and_worst",
-    v.with_views(
+    recursive(
         f"""SELECT mood, behaviour, n FROM (SELECT CASE WHEN starts_with(reaction, 'praise') THEN 'praise' ELSE 'frustration' END AS mood, behaviour, count(*) AS n FROM ({REACTED_SQL})
 WHERE starts_with(reaction, 'praise') OR starts_with(reaction, 'frustration') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY mood ORDER BY n DESC, behaviour) = 1""",
-        v.MESSAGES_SQL,
+        *REACTED_VIEWS,
     ),
 )
 def u06_best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The behaviour that praise follows most, and the one that frustration does."""
     mood = F.when(F.col("reaction").startswith("praise"), "praise").when(F.col("reaction").startswith("frustration"), "frustration")
-    n = reacted(v.messages(spark, sf_dir)).groupBy(mood.alias("mood"), "behaviour").agg(F.count("*").alias("n")).filter("mood IS NOT NULL")
+    n = reacted(v.threads(spark, sf_dir)).groupBy(mood.alias("mood"), "behaviour").agg(F.count("*").alias("n")).filter("mood IS NOT NULL")
     return n.groupBy("mood").agg(F.min_by(F.struct("behaviour", "n"), F.struct(-F.col("n"), F.col("behaviour"))).alias("b")).select("mood", "b.*")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadlake import views as v
 from threadlake.functions import text as t
 from threadlake.operators import extract, facts, profiles
+from threadlake.operators.ancestors import recursive
 from threadlake.queries import query
 
 
@@ -89,10 +90,10 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.unionByName(new).groupBy(*key).agg(F.sum("n").cast("long").alias("n"), F.max("last_ts").alias("last_ts"))
 
 
-@query("g12_satisfaction_cells", v.with_views(f"SELECT reaction, behaviour, count(*) AS n, max(ts) AS last_ts FROM ({profiles.REACTED_SQL}) GROUP BY 1, 2", v.MESSAGES_SQL))
+@query("g12_satisfaction_cells", recursive(f"SELECT reaction, behaviour, count(*) AS n, max(ts) AS last_ts FROM ({profiles.REACTED_SQL}) GROUP BY 1, 2", *profiles.REACTED_VIEWS))
 def g12_satisfaction_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of the even projects' sessions, then those of the others added to them."""
-    own = profiles.reacted(v.messages(spark, sf_dir))
+    own = profiles.reacted(v.threads(spark, sf_dir))
     cells = lambda rows: rows.groupBy("reaction", "behaviour").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     even = F.pmod(F.xxhash64("session_id"), F.lit(2)) == 0
     return upserted(cells(own.filter(even)), cells(own.filter(~even)), ["reaction", "behaviour"])
