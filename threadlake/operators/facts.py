@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from threadlake import views as v
 from threadlake.functions import scoring
@@ -126,23 +127,64 @@ def g06_goal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(now)).select("id", goal_status(status, F.col("ts"), F.col("now")).alias("status"))
 
 
+def fold_goals(events: DataFrame) -> DataFrame:
+    """(project, goal, declared_ts, last_progress_ts, status) after all events (project, goal, hint, ts, seq), in the order of ts and seq.
+
+    A row with a goal states it or states it again, and a hint (blocked, done) sets its status from then on; it is active before. A row
+    without a goal is progress of the project, and touches those of its goals that are active or blocked at that time. Events without
+    a project or time are left out. Between two statements of a goal only the last progress matters, which each statement
+    finds by days: the last of its own day before it, else of the days before. So a window holds a project's day, not a project.
+    """
+    own = events.filter("project IS NOT NULL AND ts IS NOT NULL").withColumn("day", F.floor(F.col("ts") / DAY)).withColumn("at", F.struct("ts", "seq"))
+    step = F.when(F.col("goal").isNull(), F.col("at"))
+    days = own.groupBy("project", "day").agg(F.max(step).alias("step"))
+    earlier = W.partitionBy("project").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    days = days.select("project", "day", F.max("step").over(earlier).alias("carried"))
+    today = W.partitionBy("project", "day").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    stated = own.withColumn("step", F.max(step).over(today)).filter("goal IS NOT NULL").join(days, ["project", "day"]).withColumn("before", F.coalesce("step", "carried"))
+    last = own.groupBy("project").agg(F.max(step).alias("final"))
+    said = W.partitionBy("project", "goal").orderBy("ts", "seq")
+    stated = stated.join(last, "project").withColumns(
+        {
+            "status": F.coalesce(F.last("hint", ignorenulls=True).over(said.rowsBetween(W.unboundedPreceding, 0)), F.lit("active")),
+            "until": F.when(F.lead("seq").over(said).isNull(), F.col("final")).otherwise(F.lead("before").over(said)),
+        }
+    )
+    touched = F.when(F.col("status").isin("active", "blocked") & (F.col("until") > F.col("at")), F.col("until.ts"))
+    return stated.groupBy("project", "goal").agg(
+        F.min("ts").alias("declared_ts"), F.max(F.greatest(F.col("ts"), touched)).alias("last_progress_ts"), F.max_by("status", "at").alias("status")
+    )
+
+
+def fold_goals_sql(events: str) -> str:
+    """`goals` over `events`: every progress of the project compared with every statement."""
+    later = lambda a, b: f"({a}ts > {b}ts OR {a}ts = {b}ts AND {a}seq > {b}seq)"
+    return f"""stated AS (SELECT *, coalesce(last_value(hint IGNORE NULLS) OVER w, 'active') AS status, lead(ts) OVER w AS nextts, lead(seq) OVER w AS nextseq FROM {events} WHERE goal IS NOT NULL
+  WINDOW w AS (PARTITION BY project, goal ORDER BY ts, seq)),
+touched AS (SELECT g.project, g.goal, g.seq, max(p.ts) AS bump FROM stated g JOIN {events} p ON p.goal IS NULL AND p.project = g.project AND {later('p.', 'g.')}
+  AND (nextseq IS NULL OR {later('g.next', 'p.')}) WHERE status IN ('active', 'blocked') GROUP BY 1, 2, 3),
+goals AS (SELECT project, goal, min(ts) AS declared_ts, max(greatest(ts, coalesce(bump, ts))) AS last_progress_ts, arg_max(status, ts * 1000000 + seq) AS status
+  FROM stated LEFT JOIN touched USING (project, goal, seq) GROUP BY 1, 2)"""
+
+
+HINTED_SQL = "CASE WHEN kind = 'goal' THEN CASE id // 10 % 7 WHEN 1 THEN 'blocked' WHEN 3 THEN 'done' END END"
+
+
 @query(
     "g05_goal_progress",
     v.with_views(
-        """SELECT g.id, coalesce(max(p.ts), 0) AS last_progress_ts, count(p.id) AS steps FROM (SELECT * FROM extractions WHERE kind = 'goal') g
-LEFT JOIN (SELECT * FROM extractions WHERE kind = 'progress') p ON g.session_id = p.session_id AND p.id > g.id GROUP BY 1""",
+        "SELECT project, goal, declared_ts, last_progress_ts, status FROM goals",
         v.EXTRACTIONS_SQL,
+        f"events AS (SELECT project_key AS project, CASE WHEN kind = 'goal' THEN 'goal of ' || session_id END AS goal, {HINTED_SQL} AS hint, ts, id AS seq FROM extractions WHERE kind IN ('goal', 'progress'))",
+        fold_goals_sql("events"),
     ),
 )
 def g05_goal_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each goal's progress notes in its session that came after it, by one ordered window instead of a join."""
-    from pyspark.sql import Window as W
-
+    """A session's goal in each project, stated again by each of its goal rows; some rows say that it is blocked or done."""
     e = v.extractions(spark, sf_dir).filter(F.col("kind").isin("goal", "progress"))
-    after = W.partitionBy("session_id").orderBy("id").rowsBetween(1, W.unboundedFollowing)
-    step = F.when(F.col("kind") == "progress", F.col("ts"))
-    own = e.select("id", "kind", F.coalesce(F.max(step).over(after), F.lit(0)).alias("last_progress_ts"), F.count(step).over(after).alias("steps"))
-    return own.filter("kind = 'goal'").select("id", "last_progress_ts", "steps")
+    goal, turn = F.col("kind") == "goal", F.floor(F.col("id") / 10) % 7
+    hint = F.when(goal & (turn == 1), "blocked").when(goal & (turn == 3), "done")
+    return fold_goals(e.select(F.col("project_key").alias("project"), F.when(goal, F.concat(F.lit("goal of "), F.col("session_id"))).alias("goal"), hint.alias("hint"), "ts", F.col("id").alias("seq")))
 
 
 STRENGTH = {"absolute": 3, "context": 2, "preference": 1}

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from threadlake import views as v
 from threadlake.functions import scoring, text
+from threadlake.operators import extract
 from threadlake.queries import query
 
 TOKENS = ["input_tokens", "cache_creation_tokens", "cache_read_tokens", "output_tokens"]
@@ -66,16 +67,14 @@ def a05_cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost_by_model(v.turns(spark, sf_dir))
 
 
-CORRECTION = "^(no|nope|wrong|stop|don't|we never|i said|i told you)([^a-z]|$)"
-
-
 def corrections(messages: DataFrame) -> DataFrame:
-    """User messages that open with a directive to do otherwise, with their paraphrase key."""
-    return messages.filter((F.col("role") == "user") & F.lower(F.trim("text")).rlike(CORRECTION)).withColumn("key", text.correction_key(F.col("text")))
+    """The corrections of X01, with their paraphrase key."""
+    c = F.col("text")
+    return extract.user_texts(messages).filter((F.length(c) < 500) & extract.has(c, extract.CORRECTION)).withColumn("key", text.correction_key(c))
 
 
 CORRECTIONS_SQL = f"""corrections AS (SELECT *, {text.correction_key_sql("text")} AS key FROM messages
-  WHERE role = 'user' AND regexp_matches(lower(trim(text)), '{CORRECTION.replace("'", "''")}'))"""
+  WHERE {extract.USER_SQL} AND length(text) < 500 AND {extract.sql_has("text", extract.CORRECTION)})"""
 
 
 @query(

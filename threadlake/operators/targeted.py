@@ -58,31 +58,34 @@ def f09_attempts_about(spark: SparkSession, sf_dir: str) -> DataFrame:
     return about(extract.x10_failed_attempts(spark, sf_dir), "SQL").select("message_uuid", "attempt", "reason")
 
 
-def goals(stated: DataFrame, progress: DataFrame, messages: DataFrame) -> DataFrame:
-    """Open goals (active or blocked) with the last progress of their session after them; `place` 1 is a project's active goal."""
-    at = messages.select("message_uuid", "session_id", "project_key", "ts", "seq")
-    open_ = stated.filter(F.col("status").isin("active", "blocked")).join(at, "message_uuid")
-    steps = progress.select("message_uuid").distinct().join(at, "message_uuid").groupBy("session_id").agg(F.max(F.struct("seq", "ts")).alias("last"))
-    own = open_.join(steps, "session_id", "left").withColumn("last_progress_ts", F.when(F.col("last.seq") > F.col("seq"), F.col("last.ts")))
-    order = (F.desc(F.coalesce("last_progress_ts", "ts")), F.desc("ts"), F.desc("seq"))
-    from pyspark.sql import Window as W
-
-    return own.withColumn("place", F.row_number().over(W.partitionBy("project_key").orderBy(*order)))
+def active_goals(goals: DataFrame, now: Column) -> DataFrame:
+    """Each project's open goal (active or blocked, once its age is accounted for) that was touched last; of equal ones the later stated."""
+    state = facts.goal_status(F.col("status"), F.coalesce("last_progress_ts", "declared_ts"), now)
+    open_ = goals.withColumn("state", state).filter(F.col("state").isin("active", "blocked"))
+    best = F.struct(F.coalesce("last_progress_ts", "declared_ts"), "declared_ts", "goal")
+    return open_.groupBy("project").agg(F.max_by(F.struct("goal", "state", "declared_ts", "last_progress_ts"), best).alias("g")).select("project", "g.*")
 
 
 @query(
     "g07_active_goals",
     v.with_views(
-        f"""SELECT project_key, message_uuid, status, last_progress_ts FROM (SELECT g.*, m.project_key, m.ts, m.seq, CASE WHEN p.seq > m.seq THEN p.ts END AS last_progress_ts
-  FROM ({extract.GOALS_SQL}) g JOIN messages m USING (message_uuid) LEFT JOIN (SELECT session_id, max(m.seq) AS seq, arg_max(m.ts, m.seq) AS ts FROM ({extract.PROGRESS_SQL}) x JOIN messages m USING (message_uuid) GROUP BY 1) p ON p.session_id = m.session_id
-  WHERE status IN ('active', 'blocked')) QUALIFY row_number() OVER (PARTITION BY project_key ORDER BY coalesce(last_progress_ts, ts) DESC, ts DESC, seq DESC) = 1""",
+        """SELECT project, goal, state, declared_ts, last_progress_ts FROM (SELECT *, CASE WHEN status = 'active' AND now - last_progress_ts > 60 * 86400 THEN 'abandoned' WHEN status = 'active' AND now - last_progress_ts > 30 * 86400 THEN 'paused'
+  WHEN status = 'blocked' AND now - last_progress_ts <= 30 * 86400 THEN 'active' ELSE status END AS state FROM goals, (SELECT max(ts) AS now FROM messages)) WHERE state IN ('active', 'blocked')
+QUALIFY row_number() OVER (PARTITION BY project ORDER BY last_progress_ts DESC, declared_ts DESC, goal DESC) = 1""",
         v.MESSAGES_SQL,
+        f"""events AS (SELECT project_key AS project, text AS goal, nullif(status, 'active') AS hint, ts, seq FROM ({extract.GOALS_SQL}) JOIN messages USING (message_uuid)
+  UNION ALL SELECT project_key, NULL, NULL, ts, seq FROM (SELECT DISTINCT message_uuid FROM ({extract.PROGRESS_SQL})) JOIN messages USING (message_uuid))""",
+        facts.fold_goals_sql("events"),
     ),
 )
 def g07_active_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each project's active goal."""
-    own = goals(extract.x11_goals(spark, sf_dir), extract.x12_goal_progress(spark, sf_dir), v.messages(spark, sf_dir))
-    return own.filter("place = 1").select("project_key", "message_uuid", "status", "last_progress_ts")
+    """Each project's active goal, from the goals that users state and the steps that the assistant reports."""
+    m = v.messages(spark, sf_dir)
+    at = m.select("message_uuid", F.col("project_key").alias("project"), "ts", "seq", "text")
+    stated = extract.x11_goals(spark, sf_dir).join(at, "message_uuid").select("project", F.col("text").alias("goal"), F.nullif("status", F.lit("active")).alias("hint"), "ts", "seq")
+    steps = extract.x12_goal_progress(spark, sf_dir).select("message_uuid").distinct().join(at, "message_uuid").select("project", F.lit(None).cast("string").alias("goal"), F.lit(None).cast("string").alias("hint"), "ts", "seq")
+    now = m.agg(F.max("ts")).first()[0]
+    return active_goals(facts.fold_goals(stated.unionByName(steps)), F.lit(now).cast("long"))
 
 
 def upserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
