@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from threadlake.sources.growing import GrowingFiles
 from threadlake.sources.sinks import new_rows
 
 
-def tail(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, key: list[str], seq: str, every: str | None = None) -> StreamingQuery:
-    """Appends new files' rows to a Parquet table, once for each key; without `every`, all there is and then stops.
-
-    A batch that is run again after a failure finds its rows in the table and adds none.
-    """
-    source = spark.readStream.schema(schema).json(folder)
+def _append(source: DataFrame, table: str, checkpoint: str, key: list[str], seq: str, every: str | None) -> StreamingQuery:
+    """Appends a stream's rows to a Parquet table, once for each key; a batch that is run again finds its rows there and adds none."""
 
     def append(batch: DataFrame, _: int) -> None:
         own = batch.sparkSession
@@ -27,6 +24,22 @@ def tail(spark: SparkSession, folder: str, schema: str, table: str, checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def tail(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, key: list[str], seq: str, every: str | None = None) -> StreamingQuery:
+    """Appends new files' rows to a Parquet table, once for each key; without `every`, all there is and then stops."""
+    return _append(spark.readStream.schema(schema).json(folder), table, checkpoint, key, seq, every)
+
+
+def follow(spark: SparkSession, folder: str, schema: str, table: str, checkpoint: str, key: list[str], seq: str, every: str | None = None, pattern: str = "*.jsonl") -> StreamingQuery:
+    """As tail, for files that are still written: takes up each where it was left, begins anew what shrank or was replaced.
+
+    Lines that are no JSON object have nulls in all columns and are left out, as is a line without the key.
+    """
+    spark.dataSource.register(GrowingFiles)
+    lines = spark.readStream.format("growing_files").option("pattern", pattern).load(folder)
+    rows = lines.select(F.from_json("line", schema).alias("row")).select("row.*").dropna(subset=key)
+    return _append(rows, table, checkpoint, key, seq, every)
+
+
 def windowed_counts(events: DataFrame, delay: str = "10 minutes", size: str = "1 hour") -> DataFrame:
     """I07 (an extension): events by type in tumbling windows, late ones up to `delay`."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
