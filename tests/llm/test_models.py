@@ -357,3 +357,40 @@ def test_one_row_a_document(spark, sf, name):
     from threadlake.llm.queries import QUERIES
 
     assert QUERIES[name](spark, sf).count() == documents(spark, sf).count()
+
+
+def test_dates_of_both_readings_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    texts = [f"{a:02d}/{b:02d}/{y}" for y in (1800, 1996, 2199) for a in range(1, 32) for b in range(1, 32)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = pii.pseudonymise(df, "k").collect()
+    new = {r.text: r.n_private for r in rows}
+    assert len(new) == len(texts)
+    moved = [x for x, n in new.items() if n]
+    dates = [t for t in texts if _is_date(t[:2], t[3:5], t[6:]) or _is_date(t[3:5], t[:2], t[6:])]
+    assert len(dates) - 3 <= len(moved) <= len(dates)  # a value may be its own pseudonym
+    assert all(_is_date(x[:2], x[3:5], x[6:]) or _is_date(x[3:5], x[:2], x[6:]) for x in moved)
+    # the dates after the 12th are permuted among themselves, over all months
+    late = spark.sql("SELECT explode(sequence(date'1800-01-01', date'2199-12-31')) AS d").filter("day(d) > 12")
+    out = late.select(pii._late_date(F.col("d"), "k").alias("x"))
+    assert out.filter("day(x) > 12").distinct().count() == late.count() == 9 * 9833
+
+
+def _is_date(day, month, year):
+    import datetime
+
+    try:
+        return bool(datetime.date(int(year), int(month), int(day)))
+    except ValueError:
+        return False
+
+
+def test_key_stays_out_of_the_plan(spark):
+    df = spark.createDataFrame([("mail a@b.io", "x", "y", 5)], "text string, __found string, __fresh string, __key int")
+    out = pii.pseudonymise(df, "SECRETKEY")
+    rows = out.collect()
+    assert "SECRETKEY" not in out._jdf.queryExecution().toString()
+    assert out.columns == ["text", "__found", "__fresh", "__key", "n_private"]
+    assert rows[0][1:] == ("x", "y", 5, 1) and rows[0].text != "mail a@b.io"
+    assert pii.key_id("k") == pii.key_id("k") != pii.key_id("l")

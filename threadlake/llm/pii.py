@@ -10,6 +10,7 @@ ones different pseudonyms, and each is again a valid value of its format.
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 from secrets import token_hex
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,8 @@ ANY = "|".join((EMAIL, SECRET, ISO_DATE, DAY_DATE, ADDRESS, PHONE, WORLD_PHONE,
 
 # 400 Gregorian years are 146097 = 189 * 773 days
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
+# and 4800 months, whose days after the 12th are 146097 - 57600 = 88497 = 9 * 9833
+MONTHS, LATE_DAYS = 4800, (9, 9833)
 LOWER, UPPER, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 
 
@@ -43,7 +46,7 @@ def _let(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), f), 1)
 
 
-def permute(values: Column, radix: Column, kind: str, key: str) -> Column:
+def permute(values: Column, radix: Column, kind: str, key: str | Column) -> Column:
     """A keyed permutation of arrays of digits: values[i] in 0..radix[i]-1. Positions of radix 1 stay 0."""
 
     def one(v: Column, r: Column) -> Column:
@@ -51,7 +54,7 @@ def permute(values: Column, radix: Column, kind: str, key: str) -> Column:
         first = r % 2 == 0
         other = F.when(first, F.slice(v, half + 1, F.size(v) - half)).otherwise(F.slice(v, 1, half))
         shape = F.array_join(radix.cast("array<string>"), ".")
-        digest = F.sha2(F.concat_ws(":", F.lit(key), F.lit(kind), r.cast("string"), shape, F.array_join(other.cast("array<string>"), ",")), 512)
+        digest = F.sha2(F.concat_ws(":", F.lit(key) if isinstance(key, str) else key, F.lit(kind), r.cast("string"), shape, F.array_join(other.cast("array<string>"), ",")), 512)
 
         def shift(d: Column) -> Column:
             def digit(x: Column, i: Column) -> Column:
@@ -65,7 +68,7 @@ def permute(values: Column, radix: Column, kind: str, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, one)
 
 
-def _characters(m: Column, kind: str, key: str, fixed_from: Column | None = None) -> Column:
+def _characters(m: Column, kind: str, key: str | Column, fixed_from: Column | None = None) -> Column:
     """Digits, lower-case and upper-case letters permuted each within its kind; all else, and what lies from
     `fixed_from` on, stays."""
     whole = F.split(m, "")
@@ -89,7 +92,7 @@ def _characters(m: Column, kind: str, key: str, fixed_from: Column | None = None
     return _let(F.transform(whole, classed), rebuilt)
 
 
-def _hex(m: Column, key: str) -> Column:
+def _hex(m: Column, key: str | Column) -> Column:
     low = F.lower(m)
     values = F.transform(F.split(low, ""), lambda c: F.conv(c, 16, 10).cast("int"))
     out = permute(values, F.transform(values, lambda _: F.lit(16)), "secret", key)
@@ -122,7 +125,7 @@ def _in_place(m: Column, digits: Column) -> Column:
     return taken["s"]
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: str | Column) -> Column:
     def valid(digits: Column) -> Column:
         body = F.slice(digits, 1, F.size(digits) - 1)
         fresh = permute(body, F.transform(body, lambda _: F.lit(10)), "card", key)
@@ -132,21 +135,42 @@ def _card(m: Column, key: str) -> Column:
     return _let(_digits(m), valid)
 
 
-def _address(m: Column, key: str) -> Column:
+def _address(m: Column, key: str | Column) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     out = permute(octets, F.array(*[F.lit(256)] * 4), "address", key)
     return F.when(F.forall(octets, lambda x: x < 256), F.array_join(out.cast("array<string>"), ".")).otherwise(m)
 
 
-def _date(m: Column, form: Column, key: str) -> Column:
-    """Dates of 1800 to 2199 become others of these; what is no date stays."""
-    day = F.datediff(F.try_to_date(m, "yyyy-MM-dd") if form is None else form, F.lit(FIRST_DAY).cast("date"))
+def _date(date: Column, key: str | Column) -> Column:
+    """Dates of 1800 to 2199 become others of these; null for all else."""
+    day = F.datediff(date, F.lit(FIRST_DAY).cast("date"))
     q, r = DAYS
     fresh = permute(F.array(F.floor(day / r).cast("int"), (day % r).cast("int")), F.array(F.lit(q), F.lit(r)), "date", key)
     return F.when(day.between(0, q * r - 1), _let(fresh, lambda x: F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(x, 0) * r + F.get(x, 1))))
 
 
-def _social(m: Column, key: str) -> Column:
+def _late_date(date: Column, key: str | Column) -> Column:
+    """Dates of 1800 to 2199 after the 12th become others of these: as mm/dd they cannot be read as dd/mm, nor can their pseudonyms.
+
+    Their rank leaves out the first twelve days of each month. Back from a rank, the month is the last of the few around the mean that
+    begins at or before it.
+    """
+    first = F.lit(FIRST_DAY).cast("date")
+    begins = lambda m: F.datediff(F.add_months(first, m), first) - 12 * m
+    month = (F.year(date) - F.year(first)) * 12 + F.month(date) - 1
+    rank = F.datediff(date, first) - 12 * (month + 1)
+    q, r = LATE_DAYS
+    fresh = permute(F.array(F.floor(rank / r).cast("int"), (rank % r).cast("int")), F.array(F.lit(q), F.lit(r)), "late date", key)
+
+    def back(x: Column) -> Column:
+        near = F.transform(F.array(*(F.lit(k) for k in (-2, -1, 0, 1, 2))), lambda k: F.greatest(F.lit(0), F.floor(x * MONTHS / (q * r)).cast("int") + k))
+        month = F.array_max(F.filter(near, lambda m: begins(m) <= x))
+        return _let(month, lambda m: F.date_add(F.add_months(first, m), 12 + x - begins(m)))
+
+    return F.when(month.between(0, MONTHS - 1) & (F.dayofmonth(date) > 12), _let(_let(fresh, lambda v: F.get(v, 0) * r + F.get(v, 1)), back))
+
+
+def _social(m: Column, key: str | Column) -> Column:
     """Areas 001-899 without 666, groups 01-99 and serials 0001-9999 are valid."""
     area, group, serial = (F.split_part(m, F.lit("-"), F.lit(k)).cast("int") for k in (1, 2, 3))
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
@@ -156,11 +180,11 @@ def _social(m: Column, key: str) -> Column:
     return F.when(valid, _let(out, back)).otherwise(m)
 
 
-def pseudonym(m: Column, key: str) -> Column:
+def pseudonym(m: Column, key: str | Column) -> Column:
     """The pseudonym of one found value; the value itself if it isn't valid."""
-    iso = _date(m, F.try_to_date(m, "yyyy-MM-dd"), key)
-    dotted = _date(m, F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"), key)
-    other = _date(m, F.try_to_date(m, "MM/dd/yyyy"), key)  # where the second number is no month
+    iso = _date(F.try_to_date(m, "yyyy-MM-dd"), key)
+    dotted = _date(F.try_to_date(F.translate(m, "/", "."), "dd.MM.yyyy"), key)
+    other = _late_date(F.try_to_date(m, "MM/dd/yyyy"), key)  # where the second number is no month
     sep = F.substring(m, 3, 1)
     return (
         F.when(m.contains("@"), _characters(m, "email", key, F.instr(m, "@") - 1))
@@ -179,22 +203,36 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Each row of `docs` with its text pseudonymised, and n_private, the number of values replaced.
 
-    Who has `key` can undo the permutations, so it must be kept as a secret. Emails keep their domain, phone numbers
-    their country code. Hexadecimal secrets that differ in case only get pseudonyms that do. A null text stays null and an empty one empty,
-    with n_private 0. Repeated rows are treated alike; a column named n_private is replaced. Nothing is shuffled.
+    Who has `key` can undo the permutations, so it must be kept as a secret. It reaches the tasks as a row of its own that a
+    subquery reads, and so stands in no plan, log or page of the UI. Emails keep their domain, phone numbers their country code.
+    Hexadecimal secrets that differ in case only get pseudonyms that do. A null text stays null and an empty one empty,
+    with n_private 0; texts are read whole, however long. Repeated rows are treated alike, an empty table stays empty; a column
+    named n_private is replaced, columns of all other names are carried on. Nothing is shuffled.
     """
-    source = F.col(text)
+    own = [c for c in docs.columns if c != "n_private"]
+    source = F.col("__source")
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string").select("key").scalar()
+    base = docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns}).withColumns({"__source": F.col(f"__own_{text}"), "__key": secret})
     some = F.coalesce(source.rlike("[0-9@]"), F.lit(False))
-    found = docs.drop("n_private").withColumn("__found", F.when(some, F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>")))
-    fresh = found.withColumn("__fresh", F.transform("__found", lambda m: pseudonym(m, key)))
+    found = base.withColumn("__found", F.when(some, F.regexp_extract_all("__source", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>")))
+    fresh = found.withColumn("__fresh", F.transform("__found", lambda m: pseudonym(m, F.col("__key"))))
     gaps = F.split(source, ANY, -1)
     woven = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__fresh", i), F.lit("")))), "")
     replaced = F.size(F.filter(F.zip_with("__found", "__fresh", lambda a, b: a != b), lambda x: x)).cast("long")
-    out = fresh.withColumn(text, F.when(F.size("__found") > 0, woven).otherwise(source)).withColumn("n_private", replaced)
-    return out.drop("__found", "__fresh")
+    out = fresh.withColumn("__text", F.when(F.size("__found") > 0, woven).otherwise(source))
+    return out.select(*((F.col("__text") if c == text else F.col(f"__own_{c}")).alias(c) for c in own), replaced.alias("n_private"))
+
+
+def key_id(key: str) -> str:
+    """A fingerprint of the key: results with the same one are linked."""
+    return sha256(f"key of pseudonyms: {key}".encode()).hexdigest()[:12]
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: doc_id, n_private and the text with pseudonyms, under the session's key or else a fresh one."""
+    """One row per document: doc_id, n_private, the text with pseudonyms, and key_id.
+
+    The key is the session's, or else a fresh one: then key_id differs from run to run, and values are linked within this result only.
+    """
     key = spark.conf.get(KEY_SETTING, None) or token_hex(32)
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key).select("doc_id", "n_private", "text")
+    found = pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), key)
+    return found.select("doc_id", "n_private", "text", F.lit(key_id(key)).alias("key_id"))
