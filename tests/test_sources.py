@@ -109,13 +109,14 @@ def test_grok_and_pi(spark, tmp_path):
 
 
 def test_cline_sums_usage(spark, tmp_path):
-    for task, used in (("t1", [{"model_id": "m", "input_tokens": 2, "output_tokens": 1}, {"model_id": "n", "input_tokens": 3}]), ("t2", None)):
+    for task, used in (("t1", [{"model_id": "m", "input_tokens": 2, "output_tokens": 1}, {"model_id": "n", "input_tokens": 3, "cache_read_input_tokens": 7, "cache_creation_input_tokens": 4}]), ("t2", None)):
         (tmp_path / task).mkdir()
         chat = [{"role": "user", "content": "q"}, {"role": "assistant", "content": [{"type": "text", "text": "a"}, {"type": "tool_use", "id": "x"}]}, {"role": "assistant", "content": "b"}]
         (tmp_path / task / "api.json").write_text(json.dumps(chat))
         (tmp_path / task / "meta.json").write_text(json.dumps({"model_usage": used} if used else {}))
     chats, metas = (records.files(spark, str(tmp_path / "*"), f"{n}.json") for n in ("api", "meta"))
     got = records.parse_cline(chats, metas).orderBy("session_id", "seq").collect()
+    assert [(r.cache_read_tokens, r.cache_creation_tokens) for r in got if r.input_tokens] == [(7, 4)]
     assert [(r.session_id, r.role, r.text, r.input_tokens, r.output_tokens) for r in got] == [
         ("t1", "user", "q", None, None), ("t1", "assistant", "a", 5, 1), ("t1", "assistant", "b", None, None),
         ("t2", "user", "q", None, None), ("t2", "assistant", "a", None, None), ("t2", "assistant", "b", None, None),
@@ -155,7 +156,8 @@ def test_agents_and_sessions(spark, tmp_path):
     assert {r.agent_id: r.tool_use_id for r in linked} == {"a": "tu1", "b": "own", "c": "agent:c"}
     found = records.session_files(spark, str(tmp_path)).collect()
     assert [(r.slug, r.session_id) for r in found] == [("-home-me", name)]
-    assert spark.range(1).select(records.slug_of(F.lit("/home/me"))).first()[0] == "-home-me"
+    both = spark.range(1).select(records.slug_of(F.lit("/home/u/my.proj_x")), records.cwd_of(F.lit("-home-me"))).first()
+    assert tuple(both) == ("-home-u-my.proj_x", "/home/me")
 
 
 def test_late_values_and_dump(spark, tmp_path):

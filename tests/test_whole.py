@@ -18,6 +18,20 @@ def test_mentions_of_names(spark):
     texts = spark.createDataFrame([("p", "Engine, raptor-engine and engines; own p"), ("p", "the engine (c++)"), ("q", "p p P"), ("r", None)], "project string, text string")
     names = spark.createDataFrame([("p", "p"), ("q", "engine"), ("q", "raptor-engine"), ("r", "own")], "project string, name string")
     assert sorted(map(tuple, profiles.mentions(texts, names).collect())) == [("p", "q", 3, 1), ("p", "r", 1, 2), ("q", "p", 3, 1)]
+    whole = sorted(map(tuple, profiles.name_counts(texts, names).collect()))
+    assert whole == sorted(map(tuple, profiles.name_counts(texts, names, block_bytes=3).collect()))  # names in many blocks
+    assert profiles.name_counts(texts, names.limit(0)).count() == 0 and profiles.name_counts(texts.limit(0), names).count() == 0
+
+
+def test_names_at_word_ends():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for name in ("aa", "a-a", "c++", "né", "x_1"):
+        automaton.add_word(name, name)
+    automaton.make_automaton()
+    for text, want in (("aa aaa aa", ["aa", "aa"]), ("a-a-a", ["a-a"]), ("c++ c++x", ["c++"]), ("x_1 x_12 (x_1)", ["x_1", "x_1"]), ("", [])):
+        assert list(profiles.names_in(text, automaton)) == want
 
 
 def test_extractions_hold_whole_texts(spark, sf, duck):

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -165,32 +170,95 @@ def a24_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.groupBy("term").agg(F.count("*").alias("sessions"), F.sum("k").cast("long").alias("n")).filter("sessions >= 2 AND n >= 4")
 
 
+NAMES_BYTES = 8 << 20
+_WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def name_counts(texts: DataFrame, names: DataFrame, block_bytes: int = NAMES_BYTES) -> DataFrame:
+    """(project, name, n): how often each project of `texts` (project, text) says each of `names` (name), as whole words in any case.
+
+    All names of a block are one automaton, so that a text is read once however many there are. Names go to the tasks in
+    blocks of at most about `block_bytes`; tasks add up their own counts before anything is shuffled. Word characters are a-z, 0-9 and
+    the underscore; matches of one name do not overlap. Null or empty texts and names match nothing.
+    """
+    own = names.select(F.lower("name").alias("key")).filter("key <> ''").distinct()
+    size = own.agg(F.sum(F.octet_length("key"))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    schema, out = "project string, key string, n long", None
+    for k in range(blocks):
+        block = own.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k)
+        keys = [r["key"] for r in block.collect()]
+        if not keys:
+            continue
+        shared = texts.sparkSession.sparkContext.broadcast(keys)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in shared.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            counts: Counter[tuple[str | None, str]] = Counter()
+            for batch in batches:
+                for project, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for name in names_in((text or "").lower(), automaton):
+                        counts[project, name] += 1
+                if len(counts) > 1 << 17:
+                    yield _counted(counts)
+                    counts.clear()
+            yield _counted(counts)
+
+        found = texts.select("project", "text").mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = texts.sparkSession.createDataFrame([], schema)
+    return out.groupBy("project", F.col("key").alias("name")).agg(F.sum("n").alias("n"))
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    columns = ([p for p, _ in counts], [k for _, k in counts], list(counts.values()))
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["project", "key", "n"])
+
+
+def names_in(text: str, automaton) -> Iterator[str]:
+    """The names at whose ends in lower-cased `text` a word begins or ends, one for each match."""
+    ends: dict[str, int] = {}
+    word = lambda i: 0 <= i < len(text) and text[i] in _WORD
+    for last, name in automaton.iter(text):
+        start = last + 1 - len(name)
+        if start >= ends.get(name, 0) and word(start - 1) != word(start) and word(last) != word(last + 1):
+            ends[name] = last + 1
+            yield name
+
+
 def mentions(texts: DataFrame, names: DataFrame, most: int = 5) -> DataFrame:
-    """A25 by names: for each project of `texts` (project, text) the others of `names` (project, name) it mentions most.
+    """For each project of `texts` (project, text) the others of `names` (project, name) that it mentions most.
 
-    Whole words, in any case; of a project's names the one with the most matches counts.
+    Of a project's names the one with the most matches counts. A project's own names, and names that two projects
+    share, count for the others that have them.
     """
-    each = texts.select(F.col("project").alias("a"), "text").join(F.broadcast(names.toDF("b", "name")), F.col("a") != F.col("b"))
-    pattern = F.concat(F.lit("(?i)\\b\\Q"), F.col("name"), F.lit("\\E\\b"))
-    by_name = each.groupBy("a", "b", "name").agg(F.sum(F.regexp_count("text", pattern)).alias("n")).filter("n > 0")
-    n = by_name.groupBy("a", "b").agg(F.max("n").alias("n"))
+    own = names.select(F.col("project").alias("b"), F.lower("name").alias("name")).distinct()
+    counts = name_counts(texts, names).withColumnRenamed("project", "a").join(own, "name").filter("a <> b")
+    n = counts.groupBy("a", "b").agg(F.max("n").alias("n"))
     return n.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), "b"))).filter(F.col("rank") <= most)
 
 
+NAMED_SQL = """names AS (SELECT 'src' || n_nationkey % 20 AS project, n_name AS name FROM nation UNION ALL SELECT 'src' || s_suppkey % 20, s_name FROM supplier),
+named AS (SELECT source AS project, coalesce(text, '') || ' See NATION_' || doc_id * 7 % 25 || ', (Supplier#' || lpad(CAST(doc_id * 13 % 10 AS VARCHAR), 9, '0') || ') nation_' || doc_id * doc_id % 25 || '.' AS text FROM documents)"""
+
+
 @query(
     "a25_co_mentions",
-    """WITH d AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
-r AS (SELECT term FROM d WHERE length(term) >= 6 GROUP BY 1 HAVING count(*) >= 2)
-SELECT a, b, n, rank FROM (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM
-  (SELECT x.source AS a, y.source AS b, count(*) AS n FROM d x JOIN r USING (term) JOIN d y USING (term) WHERE x.source <> y.source GROUP BY 1, 2)) WHERE rank <= 5""",
+    f"""WITH {NAMED_SQL}, c AS (SELECT d.project AS a, n.project AS b, name, sum(len(regexp_extract_all(lower(text), '\\b' || lower(name) || '\\b'))) AS n FROM named d, names n WHERE d.project <> n.project GROUP BY 1, 2, 3)
+SELECT a, b, CAST(n AS BIGINT) AS n, rank FROM (SELECT a, b, max(n) AS n, row_number() OVER (PARTITION BY a ORDER BY max(n) DESC, b) AS rank FROM c WHERE n > 0 GROUP BY 1, 2) WHERE rank <= 5""",
 )
 def a25_co_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each source the five others it shares the most terms with, however many sources share a term.
+    """For each source the five others whose names (of nations and suppliers, dealt by their keys) it says most.
 
-    Terms are counted by the set of sources that have them before pairs are made, so that a set makes its pairs once.
+    The given texts hold no names, so a sentence with three, chosen by the document's key, stands after each text.
     """
-    d = v.table(spark, sf_dir, "documents").select("source", F.explode(F.array_distinct(t.words(F.col("text"), "[a-z]+"))).alias("term")).filter(F.length("term") >= 6).distinct()
-    shared = d.groupBy("term").agg(F.array_sort(F.collect_set("source")).alias("sources")).filter(F.size("sources") > 1).groupBy("sources").agg(F.count("*").alias("n"))
-    pairs = shared.select(F.explode("sources").alias("a"), "sources", "n").select("a", F.explode("sources").alias("b"), "n").filter("a <> b")
-    n = pairs.groupBy("a", "b").agg(F.sum("n").cast("long").alias("n"))
-    return n.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.desc("n"), "b"))).filter("rank <= 5")
+    nation, supplier = v.table(spark, sf_dir, "nation"), v.table(spark, sf_dir, "supplier")
+    of = lambda key: F.concat(F.lit("src"), (F.col(key) % 20).cast("string"))
+    names = nation.select(of("n_nationkey").alias("project"), F.col("n_name").alias("name")).unionByName(supplier.select(of("s_suppkey").alias("project"), F.col("s_name").alias("name")))
+    k = F.col("doc_id")
+    said = F.format_string(" See NATION_%d, (Supplier#%09d) nation_%d.", k * 7 % 25, k * 13 % 10, k * k % 25)
+    return mentions(v.table(spark, sf_dir, "documents").select(F.col("source").alias("project"), F.concat(F.coalesce("text", F.lit("")), said).alias("text")), names)
