@@ -35,3 +35,12 @@ def test_age(spark):
     state = facts.goal_status(F.col("status"), F.col("last_progress_ts"), F.lit(100 * DAY))
     assert {r.goal: r.s for r in goals.select("goal", state.alias("s")).collect()} == {"new": "active", "month": "paused", "old": "abandoned", "ended": "done", "stuck": "active", "slow": "blocked"}
     assert {r.project: (r.goal, r.state) for r in targeted.active_goals(goals, F.lit(100 * DAY)).collect()} == {"p": ("new", "active"), "r": ("stuck", "active")}
+
+
+def test_claims_that_say_the_same_or_nothing(spark):
+    old = spark.createDataFrame([("a", "Vim ", 0.5), ("b", "tabs", 0.5), ("c", "", 0.0), ("d", "x", 0.6), ("e", "x", 0.6)], "key string, value string, confidence double")
+    new = spark.createDataFrame([("a", "vim", 0.9, 1), ("b", "", 0.9, 5), ("c", "y", 0.3, 1), ("d", "z", 0.5, 1), ("e", "z", 0.5, 2), ("f", "w", 0.2, 1)], "key string, value string, confidence double, evidence long")
+    got = {r.key: (r.outcome, r.value, round(r.confidence, 6)) for r in facts.merged_claims(old, new, "key").collect()}
+    assert got == {
+        "a": ("confirmed", "Vim ", 0.55), "b": ("kept", "tabs", 0.5), "c": ("taken", "y", 0.3), "d": ("tentative", "x", 0.6), "e": ("replaced", "z", 0.5), "f": ("taken", "w", 0.2),
+    }

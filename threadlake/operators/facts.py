@@ -30,8 +30,8 @@ def fold_bans(claims: DataFrame) -> DataFrame:
     )
 
 
-CLAIMS_SQL = """claims AS (SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS thing, CASE WHEN user_id % 3 > 0 THEN 'c' || user_id % 3 END AS category,
-  CASE WHEN event_id % 2 = 0 THEN 'when ' || user_id % 5 ELSE '' END AS clause, (['absolute', 'context', 'preference'])[event_id % 3 + 1] AS strength, props AS text, value,
+CLAIMS_SQL = """claims AS (SELECT event_id AS seq, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_type AS thing, CASE WHEN user_id % 3 > 0 THEN 'c' || user_id END AS category,
+  CASE WHEN event_id % 2 = 0 THEN 'when ' || user_id ELSE '' END AS clause, (['absolute', 'context', 'preference'])[event_id % 3 + 1] AS strength, props AS text, value,
   CASE WHEN event_id % 4 = 0 THEN 'because ' || event_id % 9 END AS reason, event_id % 17 = 0 AS reversed, user_id FROM events)"""
 
 
@@ -43,8 +43,8 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("seq"),
         v.seconds().alias("ts"),
         F.col("event_type").alias("thing"),
-        F.when(u % 3 > 0, F.concat(F.lit("c"), (u % 3).cast("string"))).alias("category"),
-        F.when(i % 2 == 0, F.concat(F.lit("when "), (u % 5).cast("string"))).otherwise("").alias("clause"),
+        F.when(u % 3 > 0, F.concat(F.lit("c"), u.cast("string"))).alias("category"),
+        F.when(i % 2 == 0, F.concat(F.lit("when "), u.cast("string"))).otherwise("").alias("clause"),
         F.get(F.array(F.lit("absolute"), F.lit("context"), F.lit("preference")), (i % 3).cast("int")).alias("strength"),
         F.col("props").alias("text"),
         "value",
@@ -69,12 +69,12 @@ def g01_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "g02_failed_attempts",
     v.with_views(
-        "SELECT thing AS attempt, user_id % 7 AS project, min_by(ts, seq) AS attempted_ts, max_by(reason, CASE WHEN reason IS NOT NULL THEN seq END) AS reason, count(*) AS times FROM claims GROUP BY 1, 2", CLAIMS_SQL
+        "SELECT thing AS attempt, user_id AS project, min_by(ts, seq) AS attempted_ts, max_by(reason, CASE WHEN reason IS NOT NULL THEN seq END) AS reason, count(*) AS times FROM claims GROUP BY 1, 2", CLAIMS_SQL
     ),
 )
 def g02_failed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By attempt and project: the first time, and the latest reason given."""
-    return claims(spark, sf_dir).groupBy(F.col("thing").alias("attempt"), (F.col("user_id") % 7).alias("project")).agg(
+    return claims(spark, sf_dir).groupBy(F.col("thing").alias("attempt"), F.col("user_id").alias("project")).agg(
         F.min_by("ts", "seq").alias("attempted_ts"), _latest("reason").alias("reason"), F.count("*").alias("times")
     )
 
@@ -94,14 +94,14 @@ def fold_decisions(claims: DataFrame) -> DataFrame:
 @query(
     "g03_decisions",
     v.with_views(
-        """SELECT thing AS topic, strength AS chose, user_id % 5 AS scope, count(*) AS times, max(ts) AS last_ts, arg_min(reason, CASE WHEN reason IS NOT NULL THEN seq END) AS rationale,
+        """SELECT thing AS topic, strength AS chose, user_id AS scope, count(*) AS times, max(ts) AS last_ts, arg_min(reason, CASE WHEN reason IS NOT NULL THEN seq END) AS rationale,
   round(sum(value), 4) AS money, bool_or(reversed) AS is_reversed, max(CASE WHEN reversed THEN seq END) AS reversed_at FROM claims GROUP BY 1, 2, 3""",
         CLAIMS_SQL,
     ),
 )
 def g03_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = claims(spark, sf_dir)
-    return fold_decisions(c.select("seq", "ts", F.col("thing").alias("topic"), F.col("strength").alias("chose"), (F.col("user_id") % 5).alias("scope"), "reason", "value", "reversed"))
+    return fold_decisions(c.select("seq", "ts", F.col("thing").alias("topic"), F.col("strength").alias("chose"), F.col("user_id").alias("scope"), "reason", "value", "reversed"))
 
 
 def goal_status(status: Column, seen: Column, now: Column | int) -> Column:
@@ -209,14 +209,14 @@ def g08_top_bans(spark: SparkSession, sf_dir: str) -> DataFrame:
     "g09_decision_lookup",
     v.with_views(
         """SELECT topic, scope, chose, times FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY CASE scope WHEN 2 THEN 0 WHEN 0 THEN 1 ELSE 2 END, times DESC, last_ts DESC, chose) AS n
-  FROM (SELECT thing AS topic, user_id % 5 AS scope, strength AS chose, count(*) AS times, max(ts) AS last_ts FROM claims GROUP BY 1, 2, 3)) WHERE n = 1""",
+  FROM (SELECT thing AS topic, user_id AS scope, strength AS chose, count(*) AS times, max(ts) AS last_ts FROM claims GROUP BY 1, 2, 3 HAVING NOT bool_or(reversed))) WHERE n = 1""",
         CLAIMS_SQL,
     ),
 )
 def g09_decision_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each topic the decision of scope 2, else of the global scope 0, else of any; the most asserted one."""
-    own = claims(spark, sf_dir).groupBy(F.col("thing").alias("topic"), (F.col("user_id") % 5).alias("scope"), F.col("strength").alias("chose"))
-    own = own.agg(F.count("*").alias("times"), F.max("ts").alias("last_ts"))
+    """For each topic the decision of scope 2, else of the global scope 0, else of any; the most asserted one that was never reversed."""
+    own = claims(spark, sf_dir).groupBy(F.col("thing").alias("topic"), F.col("user_id").alias("scope"), F.col("strength").alias("chose"))
+    own = own.agg(F.count("*").alias("times"), F.max("ts").alias("last_ts"), F.max("reversed").alias("gone")).filter("NOT gone")
     tier = F.when(F.col("scope") == 2, 0).when(F.col("scope") == 0, 1).otherwise(2)
     best = own.groupBy("topic").agg(F.min_by(F.struct("scope", "chose", "times"), F.struct(tier, -F.col("times"), -F.col("last_ts"), F.col("chose"))).alias("b"))
     return best.select("topic", "b.*")
@@ -305,15 +305,15 @@ def m04_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_claims(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """U01m: a stored profile (key, value, confidence) after new claims (key, value, confidence, evidence).
 
-    An empty place takes the claim; the same value adds 0.05 to the confidence; another one replaces the value if it has
+    An empty claim changes nothing, an empty place takes the claim; the same value, in any case and without spaces around it, adds 0.05 to the confidence; another one replaces the value if it has
     two pieces of evidence or the higher confidence, and else stays tentative.
     """
     fresh = new.select(key, F.col("value").alias("claim"), F.col("confidence").alias("sure"), "evidence")
     both = old.join(fresh, key, "full_outer")
     outcome = (
-        F.when(F.col("claim").isNull(), "kept")
+        F.when(F.coalesce("claim", F.lit("")) == "", "kept")
         .when(F.coalesce("value", F.lit("")) == "", "taken")
-        .when(F.col("claim") == F.col("value"), "confirmed")
+        .when(F.lower(F.trim("claim")) == F.lower(F.trim("value")), "confirmed")
         .when((F.col("evidence") >= 2) | (F.col("sure") > F.col("confidence")), "replaced")
         .otherwise("tentative")
     )
@@ -326,7 +326,7 @@ def merged_claims(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     "u01_merged_profile",
     v.with_views(
         """SELECT key, outcome, CASE WHEN outcome IN ('taken', 'replaced') THEN claim ELSE value END AS value, CAST(round(CASE WHEN outcome IN ('taken', 'replaced') THEN sure WHEN outcome = 'confirmed' THEN least(1.0, confidence + 0.05) ELSE confidence END, 6) AS DOUBLE) AS confidence
-FROM (SELECT *, CASE WHEN claim IS NULL THEN 'kept' WHEN coalesce(value, '') = '' THEN 'taken' WHEN claim = value THEN 'confirmed' WHEN evidence >= 2 OR sure > confidence THEN 'replaced' ELSE 'tentative' END AS outcome
+FROM (SELECT *, CASE WHEN coalesce(claim, '') = '' THEN 'kept' WHEN coalesce(value, '') = '' THEN 'taken' WHEN lower(trim(claim)) = lower(trim(value)) THEN 'confirmed' WHEN evidence >= 2 OR sure > confidence THEN 'replaced' ELSE 'tentative' END AS outcome
 FROM (SELECT coalesce(a.key, b.key) AS key, value, confidence, claim, sure, evidence FROM
   (SELECT thing || ':' || user_id AS key, arg_max(strength, seq) AS value, 0.3 + 0.1 * (count(*) % 5) AS confidence FROM claims WHERE seq % 2 = 0 GROUP BY 1) a FULL JOIN
   (SELECT thing || ':' || user_id AS key, arg_max(strength, seq) AS claim, 0.3 + 0.1 * (count(*) % 4) AS sure, count(*) AS evidence FROM claims WHERE seq % 2 = 1 GROUP BY 1) b ON a.key = b.key))""",
