@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from threadlake.operators import facts, targeted
+from threadlake.operators import extract, facts, targeted
 
 DAY = 86400
 
@@ -44,3 +44,19 @@ def test_claims_that_say_the_same_or_nothing(spark):
     assert got == {
         "a": ("confirmed", "Vim ", 0.55), "b": ("kept", "tabs", 0.5), "c": ("taken", "y", 0.3), "d": ("tentative", "x", 0.6), "e": ("replaced", "z", 0.5), "f": ("taken", "w", 0.2),
     }
+
+
+def test_openers_are_no_goals(spark):
+    texts = ["hi", "okay!!! ... ...", "Good morning!!!!", "continue   \n", "fix it", "goal: x", "Thanks. Now port the parser to the new format", "hold on ........"]
+    rows = [(f"s{k}", 2 * k, "user", t) for k, t in enumerate(texts)] + [("s4", 100, "user", "a later message that is long enough")]
+    m = spark.createDataFrame(rows, "session_id string, seq long, role string, text string")
+    got = {r.text: (r.marked, r.opens) for r in extract.goal_signs(m).collect()}
+    assert {t: x for t, x in got.items() if any(x)} == {"goal: x": (True, False), "Thanks. Now port the parser to the new format": (False, True)}
+
+
+def test_facts_with_a_clitic_or_an_address(spark):
+    texts = {"the dog's name": True, "mail bob@example.com now": False, "nothing here": False, "the box is up": True}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", extract.has(F.col("t"), extract.VERB).alias("v")).collect()} == texts
+    wide = {r.t for r in df.filter(extract.has(F.col("t"), extract.GLOBAL_SCOPE)).collect()}
+    assert wide == {"mail bob@example.com now"}
