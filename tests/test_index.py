@@ -67,7 +67,7 @@ def test_search(spark, texts, monkeypatch, analyser, phrased, part):
     monkeypatch.setattr(index, "PART", part)
     docs, queries = texts
     d, q = spark.createDataFrame(docs, "id long, t string").repartition(3), spark.createDataFrame(queries, "query_id long, query string")
-    made = index.build(d, "id", "t", analyser)
+    made = index.build(d, "id", "t", analyser, positional=phrased)
     for k in (1, 5, 1000):
         found = search.top(index.search(made, q, k, phrased), k, search.F.round("rank", 6), search.F.col("doc_id"))
         got, want = sorted((r.query_id, r.doc_id, r["rank"]) for r in found.collect()), plain_search(docs, queries, k, analyser, phrased)
@@ -90,3 +90,5 @@ def test_empty(spark):
     assert index.search(index.build(none, "id", "t"), ask, 3).count() == 0
     some = index.build(spark.createDataFrame([(1, "a b c")], "id long, t string"), "id", "t")
     assert index.search(some, ask.limit(0), 3, phrased=True).count() == 0
+    with pytest.raises(ValueError):
+        index.search(index.build(none, "id", "t", positional=False), ask, 3, phrased=True)

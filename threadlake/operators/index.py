@@ -43,6 +43,7 @@ class Index:
     n_docs: int
     mean: float
     analyser: str
+    positional: bool
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def _documents(analyser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _documents(analyser: str, positional: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
@@ -69,7 +70,7 @@ def _documents(analyser: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (doc[1:] != doc[:-1]))[: len(code)])
                 ends = np.append(first, len(code))
                 runs = pa.array(np.searchsorted(doc[first], np.arange(len(n) + 1)), pa.int32())
-                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32()))
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place, pa.int32())) if positional else pa.nulls(len(first), pa.list_(pa.int32()))
                 each = (encoded.dictionary.take(pa.array(code[first])), pa.array(np.diff(ends), pa.int32()), positions)
                 size = pa.array([None if t is None else k for t, k in zip(texts, sizes, strict=True)], pa.int64())
                 yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), size, *(pa.ListArray.from_arrays(runs, x) for x in each)], names=["doc_id", "size", "terms", "counts", "positions"])
@@ -113,20 +114,21 @@ def _terms(postings: DataFrame, n_docs: int) -> DataFrame:
     return found.withColumn("idf", idf_of(n_docs, F.col("df")))
 
 
-def build(docs: DataFrame, doc_id: str, text: str, analyser: str = "plain", path: str | None = None) -> Index:
+def build(docs: DataFrame, doc_id: str, text: str, analyser: str = "plain", path: str | None = None, positional: bool = True) -> Index:
     """The index of a table, written under `path` or else under the shared folder.
 
     Every row is a document and counts for the statistics; a null text has no terms. Ids are whole numbers, and must not repeat.
+    Without positions, which take most of the forward table, phrases can't be searched.
     """
     folder = path or f"{shared_folder(docs.sparkSession)}/index-{uuid.uuid4().hex}"
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    forward = stored(own.mapInArrow(_documents(analyser), _FORWARD), folder, "forward")
+    forward = stored(own.mapInArrow(_documents(analyser, positional), _FORWARD), folder, "forward")
     n_docs, mean = forward.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(0.0))).first()
     pairs = forward.select("doc_id", "size", F.explode(F.arrays_zip("terms", "counts")).alias("x"))
     postings = pairs.select(F.col("x.terms").alias("term"), "doc_id", impact(F.col("x.counts"), F.col("size"), mean).alias("impact"))
     terms = stored(_terms(postings, n_docs), folder, "terms")
     blocks = stored(_blocks(postings, terms), folder, "blocks")
-    return Index(forward, blocks, terms, n_docs, mean, analyser)
+    return Index(forward, blocks, terms, n_docs, mean, analyser, positional)
 
 
 def query_terms(queries: DataFrame, analyser: str, phrased: bool) -> DataFrame:
@@ -189,6 +191,8 @@ def search(index: Index, queries: DataFrame, k: int, phrased: bool = False, spar
     """
     folder = f"{shared_folder(queries.sparkSession)}/search-{uuid.uuid4().hex}"
     asked = query_terms(queries, index.analyser, phrased)
+    if phrased and not index.positional:
+        raise ValueError("an index without positions can't find phrases")
     if phrased:
         asked = stored(asked, folder, "asked")
         index = with_phrases(index, asked, folder)

@@ -72,7 +72,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, k: int) ->
 
     rank is the negated BM25 sum over a query's distinct terms; more negative is better, equal ones (to six places) go by doc_id.
     """
-    return index.search(index.build(docs, doc_id, text), queries, k)
+    return index.search(index.build(docs, doc_id, text, positional=False), queries, k)
 
 
 def top(rows: DataFrame, k: int, *order: Column) -> DataFrame:
