@@ -1,5 +1,5 @@
 """Operators by family; importing this registers their queries."""
 
-from threadlake.operators import extract, facts, graph, ingest, metrics, profiles, recall, search, sets, targeted, transcripts, typos
+from threadlake.operators import compaction, extract, facts, graph, ingest, metrics, profiles, recall, search, sets, targeted, transcripts, typos
 
-__all__ = ["extract", "facts", "graph", "ingest", "metrics", "profiles", "recall", "search", "sets", "targeted", "transcripts", "typos"]
+__all__ = ["compaction", "extract", "facts", "graph", "ingest", "metrics", "profiles", "recall", "search", "sets", "targeted", "transcripts", "typos"]
