@@ -267,3 +267,135 @@ def rediscoveries(records: DataFrame, packets: DataFrame, window: int, tail: int
     return both.groupBy(*_KEY, "session_id", "message_uuid").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rediscovered"), F.coalesce(F.sum(F.when(held, F.col("n"))), F.lit(0)).alias("preventable")
     )
+
+
+# Which messages have what, in SQL that both engines read.
+RULES = {
+    "has_boundary": "seq % 4 = 2",  # a line of its own after the message's
+    "is_meta": "seq % 7 = 1",
+    "has_result": "seq % 5 = 0",  # instead of the user's text
+    "is_error": "seq % 2 = 0",
+    "has_todo": "seq % 13 = 0",
+}
+WINDOW, LIMIT = 60, 700
+_TOOLS = ["Read", "Edit", "Bash", "Grep"]
+
+
+def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, seq, line): each assistant message uses two tools, one of them on the session's file, some write a plan; some
+    messages of the user are results; sessions are compacted."""
+    m = v.messages(spark, sf_dir)
+    when = lambda rule, x: F.when(F.expr(RULES[rule]), x)
+    number = F.col("seq").cast("string")
+    session = F.floor(F.col("seq") / 1000)
+    of = {n: F.col("seq") % 4 == i for i, n in enumerate(_TOOLS)}
+    kinds = {k: F.lit(None).cast("string") for k in ("type", "text", "id", "name", "tool_use_id", "content")} | {"is_error": F.lit(None).cast("boolean")}
+    inputs = {k: F.lit(None).cast("string") for k in ("file_path", "command", "pattern")} | {"todos": F.lit(None).cast("array<struct<content:string,status:string>>")}
+    struct = lambda base, made: F.struct(*(x.alias(k) for k, x in (base | made).items()))
+    block = lambda arguments=None, **made: struct(kinds | {"input": struct(inputs, arguments or {}) if arguments else F.lit(None).cast("struct<file_path:string,command:string,pattern:string,todos:array<struct<content:string,status:string>>>")}, made)
+    own_file = F.concat(F.lit("/src/m"), (session % 5).cast("string"), F.lit(".py"))
+    first = block(
+        {
+            "file_path": F.when(of["Read"] | of["Edit"], own_file),
+            "command": F.when(of["Bash"], F.concat(F.lit("make t"), (session % 2).cast("string"))),
+            "pattern": F.when(of["Grep"], F.lit("def t")),
+        },
+        type=F.lit("tool_use"), id=F.concat(F.lit("tu"), number), name=F.get(F.array(*map(F.lit, _TOOLS)), (F.col("seq") % 4).cast("int")),
+    )
+    second = block({"file_path": F.concat(F.lit("/src/shared"), (F.col("seq") % 2).cast("string"), F.lit(".py"))}, type=F.lit("tool_use"), id=F.concat(F.lit("tv"), number), name=F.lit("Read"))
+    todo = block({"todos": F.array(F.struct(F.concat(F.lit("fix m"), number).alias("content"), F.lit("open").alias("status")))}, type=F.lit("tool_use"), id=F.concat(F.lit("tw"), number), name=F.lit("TodoWrite"))
+    said = block(type=F.lit("text"), text=F.col("text"))
+    result = block(type=F.lit("tool_result"), tool_use_id=F.concat(F.lit("tu"), (F.col("seq") - 1).cast("string")), is_error=F.expr(RULES["is_error"]), content=F.lit("fine"))
+    head = {
+        "type": F.col("role"),
+        "sessionId": F.col("session_id"),
+        "uuid": F.col("message_uuid"),
+        "timestamp": F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ssXXX"),
+        "cwd": F.col("cwd"),
+    }
+    line = lambda **more: F.to_json(F.struct(*(x.alias(k) for k, x in (head | more).items())))
+    answer = F.struct(F.lit("assistant").alias("role"), F.array_compact(F.array(said, first, second, when("has_todo", todo))).alias("content"))
+    own = (
+        F.when(F.col("role") == "assistant", line(message=answer))
+        .when((F.col("role") == "user") & F.expr(RULES["has_result"]), line(message=F.struct(F.lit("user").alias("role"), F.array(result).alias("content"))))
+        .when(F.col("role") == "user", line(isMeta=F.expr(RULES["is_meta"]), message=F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+        .otherwise(line(subtype=F.lit("away_summary"), content=F.col("text")))
+    )
+    end = when("has_boundary", line(type=F.lit("system"), uuid=F.concat("message_uuid", F.lit("-c")), subtype=F.lit("compact_boundary")))
+    lines = F.array_compact(F.array(own, end))
+    return m.select(F.concat("session_id", F.lit(".jsonl")).alias("file"), "seq", F.posexplode(lines).alias("place", "line")).select("file", (F.col("seq") * 10 + F.col("place")).alias("seq"), "line")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts and goals by rule: the users' and systems' messages; every tenth message declares a goal."""
+    m = v.messages(spark, sf_dir)
+    kind = F.expr("CASE WHEN role = 'system' OR seq % 9 = 4 THEN 'away_summary' WHEN seq % 2 = 0 THEN 'standing_decision' ELSE 'failed_attempt' END")
+    facts = m.filter("role <> 'assistant'").select(kind.alias("kind"), F.left("text", F.lit(90)).alias("content"), "session_id", "project_key", "ts", (F.col("seq") % 7 / 10.0).alias("score"))
+    goals = m.filter("seq % 10 = 1").select(F.col("project_key").alias("project"), F.concat(F.lit("goal "), "message_uuid").alias("goal_text"), F.when(F.col("seq") % 3 == 0, "done").otherwise("active").alias("status"), F.col("ts").alias("declared_ts"), F.lit(None).cast("long").alias("last_progress_ts"))
+    return facts, goals
+
+
+_STRIP = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+_QUOTE = lambda c: f"CAST(to_json(CAST({c} AS VARCHAR)) AS VARCHAR)"
+_TAILS = f"""lines AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY line) AS pos FROM (
+  SELECT *, seq * 10 AS line, false AS ends FROM messages UNION ALL SELECT *, seq * 10 + 1, true FROM messages WHERE {RULES['has_boundary']})),
+ends AS (SELECT session_id, pos AS boundary, message_uuid || '-c' AS message_uuid, ts, project_key FROM lines WHERE ends),
+uses AS (SELECT session_id, pos, 1 AS place, (['Read', 'Edit', 'Bash', 'Grep'])[seq % 4 + 1] AS name, 'tu' || seq AS id, CASE WHEN seq % 4 < 2 THEN '/src/m' || (seq // 1000) % 5 || '.py' END AS path,
+    CASE seq % 4 WHEN 2 THEN 'make t' || (seq // 1000) % 2 WHEN 3 THEN 'def t' END AS other, seq FROM lines WHERE role = 'assistant' AND NOT ends
+  UNION ALL SELECT session_id, pos, 2, 'Read', 'tv' || seq, '/src/shared' || seq % 2 || '.py', NULL, seq FROM lines WHERE role = 'assistant' AND NOT ends
+  UNION ALL SELECT session_id, pos, 3, 'TodoWrite', 'tw' || seq, NULL, NULL, seq FROM lines WHERE role = 'assistant' AND NOT ends AND {RULES['has_todo']}),
+tails AS (SELECT e.boundary, u.* FROM ends e JOIN uses u ON u.session_id = e.session_id AND u.pos BETWEEN e.boundary - {TAIL} AND e.boundary - 1),
+said AS (SELECT e.session_id, e.boundary, l.pos, CASE WHEN role = 'user' AND NOT {RULES['has_result']} AND NOT {RULES['is_meta']} THEN nullif({_STRIP('text')}, '') END AS directive,
+    CASE WHEN role = 'assistant' THEN nullif({_STRIP('text')}, '') END AS answer FROM ends e JOIN lines l ON l.session_id = e.session_id AND NOT l.ends AND l.pos BETWEEN e.boundary - {TAIL} AND e.boundary - 1),
+known AS (SELECT CASE WHEN role = 'system' OR seq % 9 = 4 THEN 'away_summary' WHEN seq % 2 = 0 THEN 'standing_decision' ELSE 'failed_attempt' END AS kind, left(text, 90) AS content, session_id, project_key, ts, seq % 7 / 10.0 AS score FROM messages WHERE role <> 'assistant'),
+goals AS (SELECT project_key, max_by('goal ' || message_uuid, (ts, 'goal ' || message_uuid)) AS goal, max(ts) AS touched FROM messages WHERE seq % 10 = 1 AND seq % 3 <> 0 GROUP BY 1),
+files AS (SELECT session_id, boundary, path, count(*) AS n, max_by(name, pos * 10 - place) AS verb, max(pos * 10 - place) AS newest FROM tails WHERE name IN ('Read', 'Edit') GROUP BY 1, 2, 3),
+results AS (SELECT e.session_id, e.boundary, 'tu' || (l.seq - 1) AS id, {RULES['is_error']} AS failed FROM ends e JOIN lines l ON l.session_id = e.session_id AND NOT l.ends AND role = 'user' AND {RULES['has_result']} AND l.pos BETWEEN e.boundary - {TAIL} AND e.boundary - 1),
+actions AS (SELECT t.*, NOT coalesce(failed, false) AS ok, row_number() OVER (PARTITION BY t.session_id, t.boundary ORDER BY pos DESC, place DESC) AS rank FROM tails t LEFT JOIN results r ON r.session_id = t.session_id AND r.boundary = t.boundary AND r.id = t.id),
+told AS (SELECT e.session_id, e.boundary, max_by(content, (k.ts, content)) AS content FROM ends e JOIN known k ON k.project_key = e.project_key AND k.kind = 'away_summary' AND k.ts < e.ts GROUP BY 1, 2),
+ranked AS (SELECT e.session_id, e.boundary, k.kind, content, row_number() OVER (PARTITION BY e.session_id, e.boundary, kind ORDER BY score DESC, k.ts DESC, content DESC) AS rank FROM ends e JOIN known k ON k.session_id = e.session_id AND k.ts < e.ts AND content <> '' AND kind <> 'away_summary'),
+parts AS (
+  SELECT session_id, boundary, 1 AS prio, 'active_goal' AS part, {_QUOTE('goal')} AS json, goal AS text FROM (SELECT e.session_id, e.boundary, coalesce(CASE WHEN touched < e.ts THEN goal END, nullif({_STRIP("split_part(content, chr(10), 1)")}, '')) AS goal
+    FROM ends e LEFT JOIN goals USING (project_key) LEFT JOIN told ON told.session_id = e.session_id AND told.boundary = e.boundary) WHERE goal IS NOT NULL
+  UNION ALL SELECT session_id, boundary, 2, 'last_user_directive', {_QUOTE('d')}, d FROM (SELECT session_id, boundary, max_by(directive, pos) FILTER (WHERE directive IS NOT NULL) AS d FROM said GROUP BY 1, 2) WHERE d IS NOT NULL
+  UNION ALL SELECT session_id, boundary, 3, 'files_in_flight', '[' || string_agg('{{"path":"' || path || '","verb":"' || verb || '","count":' || n || '}}', ',' ORDER BY newest DESC) || ']', NULL FROM (SELECT *, row_number() OVER (PARTITION BY session_id, boundary ORDER BY newest DESC) AS rank FROM files) WHERE rank <= {FILES} GROUP BY 1, 2
+  UNION ALL SELECT session_id, boundary, 4, 'last_actions', '[' || string_agg('{{"tool":"' || name || '","arg":' || coalesce('"' || coalesce(path, other) || '"', 'null') || ',"ok":' || ok || '}}', ',' ORDER BY rank) || ']', NULL FROM actions WHERE rank <= {ACTIONS} GROUP BY 1, 2
+  UNION ALL SELECT session_id, boundary, 5, 'decisions_this_session', '[' || string_agg({_QUOTE('content')}, ',' ORDER BY rank) || ']', NULL FROM ranked WHERE kind = 'standing_decision' AND rank <= 3 GROUP BY 1, 2
+  UNION ALL SELECT s.session_id, s.boundary, 6, 'open_plan', coalesce(todo, {_QUOTE('plan')}), NULL FROM (SELECT session_id, boundary, max_by(answer, pos) FILTER (WHERE regexp_matches(answer, '{PLAN}')) AS plan FROM said GROUP BY 1, 2) s
+    LEFT JOIN (SELECT session_id, boundary, '[{{"content":"fix m' || max_by(seq, pos) || '","status":"open"}}]' AS todo FROM tails WHERE name = 'TodoWrite' GROUP BY 1, 2) t USING (session_id, boundary) WHERE coalesce(todo, plan) IS NOT NULL
+  UNION ALL SELECT session_id, boundary, 7, 'next_step', {_QUOTE('step')}, NULL FROM (SELECT session_id, boundary, string_split(regexp_replace(max_by(answer, pos) FILTER (WHERE answer IS NOT NULL), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[-1] AS step FROM said GROUP BY 1, 2) WHERE step IS NOT NULL
+  UNION ALL SELECT session_id, boundary, 8, 'failed_attempts_this_session', '[' || string_agg({_QUOTE('content')}, ',' ORDER BY rank) || ']', NULL FROM ranked WHERE kind = 'failed_attempt' AND rank <= 2 GROUP BY 1, 2),
+sized AS (SELECT *, 1 + sum(length(part) + length(json) + 4) OVER (PARTITION BY session_id, boundary ORDER BY prio) AS total, row_number() OVER (PARTITION BY session_id, boundary ORDER BY prio) AS place FROM parts),
+short AS (SELECT session_id, boundary, max_by(json, b) AS json FROM (SELECT session_id, boundary, part, b, CASE WHEN length(text) > b THEN {_QUOTE("left(text, greatest(40, b - 1)) || '…'")} ELSE json END AS json
+  FROM (SELECT *, unnest(range({LIMIT} - length(part) - 10, 0, -16)) AS b FROM sized WHERE place = 1 AND total > {LIMIT} AND text IS NOT NULL)) WHERE length(part) + length(json) + 5 <= {LIMIT} GROUP BY 1, 2),
+kept AS (SELECT s.session_id, s.boundary, prio, '"' || part || '":' || CASE WHEN place = 1 THEN coalesce(h.json, s.json) ELSE s.json END AS entry FROM sized s LEFT JOIN short h ON h.session_id = s.session_id AND h.boundary = s.boundary WHERE place = 1 OR total <= {LIMIT}),
+packets AS (SELECT e.session_id, e.boundary, e.message_uuid, '{{' || coalesce(string_agg(entry, ',' ORDER BY prio), '') || '}}' AS packet, count(entry) AS n_parts FROM ends e LEFT JOIN kept k ON k.session_id = e.session_id AND k.boundary = e.boundary GROUP BY 1, 2, 3)"""
+
+
+def _packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = work(raw_lines(spark, sf_dir))
+    return records, packets(records, *_known(spark, sf_dir), budget=LIMIT)
+
+
+@query("u08_packets", v.with_views(f", {_TAILS} SELECT session_id, message_uuid, packet, n_parts FROM packets", v.MESSAGES_SQL))
+def u08_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet of each compaction."""
+    return _packets(spark, sf_dir)[1].select("session_id", "message_uuid", "packet", "n_parts")
+
+
+@query(
+    "a29_rediscovery",
+    v.with_views(
+        f""", {_TAILS}, before AS (SELECT session_id, boundary, path AS target FROM tails WHERE path IS NOT NULL UNION SELECT session_id, boundary, other FROM tails WHERE name = 'Bash'),
+later AS (SELECT u.session_id, e.boundary, coalesce(path, other) AS target FROM ends e JOIN uses u ON u.session_id = e.session_id AND u.pos BETWEEN e.boundary + 1 AND e.boundary + {WINDOW} AND u.name IN ('Read', 'Bash', 'Grep')
+  WHERE NOT EXISTS (SELECT 1 FROM ends o WHERE o.session_id = e.session_id AND o.boundary > e.boundary AND o.boundary < u.pos)),
+again AS (SELECT * FROM later JOIN before USING (session_id, boundary, target))
+SELECT p.session_id, p.message_uuid, count(target) AS rediscovered, count(target) FILTER (WHERE contains(packet, target) OR contains(packet, parse_filename(target))) AS preventable
+FROM packets p LEFT JOIN again a ON a.session_id = p.session_id AND a.boundary = p.boundary GROUP BY 1, 2""",
+        v.MESSAGES_SQL,
+    ),
+)
+def a29_rediscovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read or run again after each compaction, and how much of it the packet held."""
+    records, made = _packets(spark, sf_dir)
+    return rediscoveries(records, made, WINDOW).select("session_id", "message_uuid", "rediscovered", "preventable")
