@@ -179,6 +179,29 @@ def test_escalation(spark):
         assert (got.risk, got.state) == (risk, state), text
 
 
+def test_escalation_of_drafts_and_typos(spark):
+    one = lambda *a, **k: spark.range(1).select(*(x.alias(n) for n, x in t.escalation(*a, **k).items())).first()
+    none, wordy = F.lit(None).cast("string"), F.lit("word " * 121)
+    got = one(F.lit("Teh thing"), none)
+    assert (got.risk, got.triggers, got.banned_in_draft) == (1, "typing_under_pressure", "")
+    assert one(F.lit("fien thing"), none, typos=["fien"]).risk == 1 and one(F.lit("teh thing"), none, typos=[]).risk == 0
+    assert one(F.lit("still wrong"), none, wordy).triggers == "repetition_callout,verbosity_under_correction"
+    assert one(F.lit("fine"), none, wordy).risk == 0 and one(F.lit("still wrong"), none, F.lit("word " * 120)).risk == 2
+    got = one(F.lit("fine"), none, F.lit("Certainly! As an AI, you're right"))
+    assert (got.risk, got.state, got.triggers) == (2, "mild_correction", "banned_phrase_in_draft")
+    assert got.banned_in_draft == "you'?re right | ^certainly[!,] | as an ai"
+    assert one(F.lit("fine"), none, F.lit("Well, certainly!")).risk == 0
+
+
+def test_scope_shift_by_folder(spark):
+    from threadlake.operators.targeted import scope_shifts
+
+    rows = [(1, "fix sqlite", "/a/Web"), (2, "more", "/a/Web"), (3, "more", "/a/api/"), (4, "now deploy it", "/a/api/"), (5, "plain", None), (6, "plain", "/")]
+    m = spark.createDataFrame([("s", i, str(i), "user", x, c) for i, x, c in rows], "session_id string, seq long, message_uuid string, role string, text string, cwd string")
+    got = scope_shifts(m, {"storage": ["sqlite"], "release": ["deploy"]}).orderBy("message_uuid").collect()
+    assert [tuple(r) for r in got] == [("1", "storage", None, "keyword", 0.7), ("3", "api", "web", "cwd", 1.0), ("4", "release", "storage", "keyword+pivot", 1.0)]
+
+
 def test_small_rules(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(t.echoes(F.lit("ship the NEW parser"), F.lit("we ship the new parser today"))) and not one(t.echoes(F.lit("ship the new parser"), F.lit("ship it")))

@@ -56,8 +56,9 @@ def test_union_and_guess(spark):
     a = spark.createDataFrame([("x", 1)], "source string, seq long")
     b = spark.createDataFrame([("y",)], "source string")
     assert records.union_sources(a, b).count() == 2
-    paths = spark.createDataFrame([("/h/.codex/a.jsonl",), ("/h/.claude/p/a.jsonl",)], "p string")
-    assert [r[0] for r in paths.select(records.guess_source(F.col("p"))).collect()] == ["codex", "claude_code"]
+    cases = {"/h/.codex/a.jsonl": "codex", "/h/.claude/p/a.jsonl": "claude_code", "/x/rollout-1.jsonl": "codex", "/x/sessions.db": "goose", "/s/goose/rollout-1": "goose", "/x/opencode.db": "opencode", "/opencode/a.jsonl": "claude_code", "a.pi.jsonl": "pi", "/h/.pi/a": "pi", "/h/.grok/a": "grok"}
+    paths = spark.createDataFrame(list(cases.items()), "p string, tool string")
+    assert all(r[0] == r[1] for r in paths.select(records.guess_source(F.col("p")), "tool").collect())
 
 
 def test_append_null_keys_pass(spark):

