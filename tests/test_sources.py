@@ -38,6 +38,43 @@ def test_codex_carries_state(spark, tmp_path):
     assert [(r.session_id, r.cwd, r.model, r.text) for r in got] == [("x", "/a", None, "one"), ("x", "/b", "m", "two")]
 
 
+def test_codex_calls_tokens_and_compactions(spark, tmp_path):
+    item = lambda **p: {"type": "response_item", "payload": p}
+    count = lambda **c: {"type": "event_msg", "payload": {"type": "token_count", "info": c}}
+    key = "0123456789abcdef0123456789abcdef0123"
+    write(
+        tmp_path / f"rollout-2024-01-01T00-00-00-{key}.jsonl",
+        [
+            item(type="FunctionCall", name="read", namespace="fs", call_id="c1", arguments='{"path": "/a"}'),
+            {"type": "turn_context", "payload": {"model": "m", "cwd": "/w"}},
+            {"type": "response_item", "payload": {"FunctionCall": {"name": "sh", "call_id": "c2", "arguments": "ls"}}},
+            item(type="LocalShellCall", id="c3", action={"command": ["ls"]}),
+            item(type="FunctionCallOutput", call_id="c1", output="old"),
+            item(type="FunctionCallOutput", call_id="c1", output={"content_items": [{"text": "x"}, {"content": "y"}, {"text": ""}], "is_error": True}),
+            item(type="FunctionCallOutput", call_id="c2", output="plain"),
+            count(input_tokens=10, cached_input_tokens=4, output_tokens=1),
+            count(total_token_usage={"input_tokens": 25, "cached_input_tokens": 4, "output_tokens": 3, "reasoning_output_tokens": 2}),
+            {"type": "event_msg", "payload": {"token_count": {"input_tokens": 5}}},
+            item(type="CustomThing", x=1),
+            {"type": "compacted", "payload": {"message": "s", "replacement_history": [{"type": "message", "role": "user", "content": "kept"}, 3, {"Message": {"role": "assistant", "content": [{"content": "also"}]}}]}},
+            "no json",
+        ],
+    )
+    raw = records.lines(spark, str(tmp_path))
+    calls = {r.tool_use_id: r for r in records.codex_calls(raw).collect()}
+    assert [(calls[k].name, calls[k].input, calls[k].output, calls[k].is_error, calls[k].model) for k in ("c1", "c2", "c3")] == [
+        ("fs.read", '{"path": "/a"}', "x\ny", True, None),
+        ("sh", '{"_raw":"ls"}', "plain", False, "m"),
+        ("local_shell", '{"command":["ls"]}', None, None, "m"),
+    ]
+    assert {r.session_id for r in calls.values()} == {key}
+    got = records.codex_tokens(raw).orderBy("seq").collect()
+    assert [(r.input_tokens, r.cache_read_tokens, r.output_tokens, r.cache_creation_tokens) for r in got] == [(10, 4, 1, 0), (15, 0, 2, 2), (5, 0, 0, 0)]
+    events = records.codex_events(raw).orderBy("seq", "place").collect()
+    assert [e.kind for e in events][-4:] == ["customthing", "compactboundary", "message", "message"]
+    assert [(r.role, r.text) for r in records.parse_codex(raw).collect()] == [("user", "kept"), ("assistant", "also")]
+
+
 def test_gemini_rewrites_and_rewinds(spark, tmp_path):
     m = lambda i, t: {"id": i, "type": "user", "content": t}
     write(tmp_path / "g.jsonl", [{"sessionId": "g"}, m("a", "1"), m("b", "2"), m("a", "1b"), {"$rewindTo": "b"}, m("c", "3"), m("b", "4")])

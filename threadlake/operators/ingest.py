@@ -100,3 +100,39 @@ def f01_project_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = F.array(F.lit("/"), u, F.concat(u, F.lit("/")), F.concat(u, F.lit("/.claude/worktrees/w1")), F.concat(u, F.lit("/.worktrees/w2/x")))
     cwds = v.table(spark, sf_dir, "events").select(F.get(forms, (F.col("event_id") % 5).cast("int")).alias("cwd")).distinct()
     return cwds.select("cwd", t.project_key(F.col("cwd")).alias("project_key"))
+
+
+def codex_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, seq, line): the conversations as the second tool's lines: assistants call, all but every fourth call has an output, then tokens are counted."""
+    m = v.messages(spark, sf_dir)
+    number = F.col("seq").cast("string")
+    line = lambda kind, **p: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*(x.alias(k) for k, x in p.items())).alias("payload")))
+    bot = F.col("role") == "assistant"
+    said = line("response_item", type=F.lit("message"), role=F.col("role"), content=F.array(F.struct(F.lit("input_text").alias("type"), F.col("text").alias("text"))))
+    call = line("response_item", type=F.lit("function_call"), name=F.lit("shell"), call_id=F.concat(F.lit("c"), number), arguments=F.to_json(F.struct(F.col("seq").alias("n"))))
+    out = line("response_item", type=F.lit("function_call_output"), call_id=F.concat(F.lit("c"), number), output=F.struct(F.col("text").alias("text"), (F.col("seq") % 3 == 0).alias("is_error")))
+    count = line("event_msg", type=F.lit("token_count"), info=F.struct((F.col("seq") % 1000 * 50 % 170).alias("input_tokens"), (F.col("seq") % 1000 * 7).alias("output_tokens")))
+    lines = F.array_compact(F.array(said, F.when(bot, call), F.when(bot & (F.col("seq") % 4 != 0), out), count))
+    return m.select(F.concat(F.lit("rollout-"), F.lpad("session_id", 36, "0"), F.lit(".jsonl")).alias("file"), "seq", F.posexplode(lines).alias("place", "line")).select("file", (F.col("seq") * 10 + F.col("place")).alias("seq"), "line")
+
+
+@query(
+    "s05_codex_calls",
+    v.with_views("SELECT lpad(session_id, 36, '0') AS session_id, 'c' || seq AS tool_use_id, 'shell' AS name, '{\"n\":' || seq || '}' AS input, CASE WHEN seq % 4 <> 0 THEN text END AS output, CASE WHEN seq % 4 <> 0 THEN seq % 3 = 0 END AS is_error FROM messages WHERE role = 'assistant'", v.MESSAGES_SQL),
+)
+def s05_codex_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with their outputs."""
+    return records.codex_calls(codex_lines(spark, sf_dir)).select("session_id", "tool_use_id", "name", "input", "output", "is_error")
+
+
+@query(
+    "s05_codex_tokens",
+    v.with_views(
+        """SELECT lpad(session_id, 36, '0') AS session_id, seq, CASE WHEN i >= i0 THEN i - i0 ELSE i END AS input_tokens, CASE WHEN o >= o0 THEN o - o0 ELSE o END AS output_tokens FROM (SELECT *, lag(i, 1, 0) OVER w AS i0, lag(o, 1, 0) OVER w AS o0
+FROM (SELECT session_id, seq, seq % 1000 * 50 % 170 AS i, seq % 1000 * 7 AS o FROM messages) WINDOW w AS (PARTITION BY session_id ORDER BY seq))""",
+        v.MESSAGES_SQL,
+    ),
+)
+def s05_codex_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that each count adds to the one before."""
+    return records.codex_tokens(codex_lines(spark, sf_dir)).select("session_id", F.floor(F.col("seq") / 10).alias("seq"), "input_tokens", "output_tokens")
