@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadlake import views as v
 from threadlake.queries import query
+from threadlake.session import written
 
 # Misspellings that are reported wherever they occur, and the limits of the tests.
 SEEDS = ["teh", "seperate", "recieve", "definately", "occured", "untill"]
@@ -85,7 +86,7 @@ slips AS (SELECT word, n, meant, meant_n FROM (SELECT *, row_number() OVER (PART
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = v.table(spark, sf_dir, "documents")
-    counts = word_counts(docs, "text", "doc_id")
+    counts = written(word_counts(docs, "text", "doc_id"), "word-counts")  # used five times over
     return docs, slips(counts, counts.filter(F.col("docs") >= IN_DOCUMENTS).select("word"))
 
 
