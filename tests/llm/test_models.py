@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from threadlake.llm import langid, lm, mixing, pii, quality, toxicity
@@ -206,6 +207,50 @@ def test_language_model_is_a_distribution():
     assert (10**c < 1).all()
 
 
+def test_language_model_learns_from_every_training_word(spark, monkeypatch):
+    """Weights and map are the mean over shards that hold each training word and junction once, with its whole count."""
+    monkeypatch.setattr(lm, "SHARD_ROWS", 60)
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} the Café\n", i % 5 == 0) for i in range(60)], "doc_id long, text string, held boolean").repartition(4)
+    items = lm.listed_items(lm.corpus_counts(docs, "held", "doc_id", "text", 5)).cache()
+    rows = items.filter("NOT more").collect()
+    words = Counter(w for i in range(60) if i % 5 for w in (f"w{i}", f"w{i % 7}", "the", "café", "\n"))
+    assert {bytes(r["item"]).decode(): r.c for r in rows if r.kind == lm.WORD and r.c} == words and len({(r.kind, bytes(r["item"])) for r in rows}) == len(rows)
+    assert next(sorted(r.groups) for r in rows if bytes(r["item"]) == b"the") == [0, 1, 2, 3, 4]
+    mixer, tokens, distinct, once = lm.train(items)
+    assert (tokens, distinct, once) == (sum(words.values()), len(words), sum(c == 1 for c in words.values()))
+    table = np.zeros((lm.SLOTS, 2))
+    known = sorted((r.shard, r.kind, bytes(r["item"]), r.c) for r in rows if r.c)
+    kinds, keys, counts = np.array([k for _, k, _, _ in known]), [x for _, _, x, _ in known], np.array([c for *_, c in known])
+    lm.count_bits(kinds, keys, counts, table)
+    taught = []
+    for shard in sorted({s for s, *_ in known}):
+        own = [i for i, r in enumerate(known) if r[0] == shard]
+        own = [own[i] for i in np.random.default_rng(1).permutation(len(own))]
+        taught.append(lm.learn(table.astype(np.float32), kinds[own], [keys[i] for i in own], counts[own]))
+    assert len(taught) > 2
+    for name in ("weights", "bias", "apm"):
+        assert np.allclose(getattr(mixer, name), np.mean([getattr(m, name) for m in taught], axis=0), atol=1e-6)
+
+
+def test_language_model_lists_groups_in_runs(monkeypatch):
+    monkeypatch.setattr(lm, "LISTED", 2)
+    rows = [(7, 0, b"a", 0, 2), (7, 1, b"a", 1, 9), (7, 0, b"b", 1, 1), (7, 0, b"a", 3, 4), (7, 0, b"a", 2, 0)]
+    got = lm._listed(pa.table({n: [r[i] for r in rows] for i, n in enumerate(("shard", "kind", "item", "g", "n"))})).to_pylist()
+    assert sorted((r["kind"], r["item"], r["c"], r["more"], r["groups"]) for r in got) == [(0, b"a", 6, False, [0, 3]), (0, b"a", 6, True, [2]), (0, b"b", 1, False, [1]), (1, b"a", 9, False, [1])]
+
+
+def test_language_model_tokens():
+    """Tokens and what stands before them, as said word by word."""
+    texts = [b"  The a\tCAF\xc3\xa9", None, b"", b"\n x\r\n"]
+    t = lm.tokens_of(texts)
+    own = [[*(x or b"").lower().split(), b"\n"] for x in texts]
+    flat = [w for o in own for w in o]
+    before = [b" \n", *((b" " + w)[-2:] for w in flat)]
+    assert t.item.to_pylist() == flat and t.doc.tolist() == [i for i, o in enumerate(own) for _ in o] and t.length.tolist() == [len(w) for w in flat]
+    assert lm.junction_keys(t.junction).to_pylist() == [a + w[:1] for a, w in zip(before, flat, strict=False)]
+    assert len(lm.tokens_of([]).doc) == 0
+
+
 def test_language_model_edges(spark):
     df = spark.createDataFrame([(*r, r[0] == 1) for r in ODD], "doc_id long, text string, held boolean")
     got = lm.score_documents(df, "held").collect()
