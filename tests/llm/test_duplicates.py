@@ -81,6 +81,20 @@ def test_dart_signatures_estimate_similarity():
     assert abs(np.mean(agree) - np.minimum(w1, w2).sum() / np.maximum(w1, w2).sum()) < 0.02
 
 
+def test_darts_are_thrown_once(monkeypatch):
+    """A signature of 450 values needs some 3,600 darts; each is hashed once, and cells only where a run of darts begins."""
+    hashed = []
+    monkeypatch.setattr(neardup, "mix", lambda x: hashed.append(x.size) or mix(x))
+    rng = np.random.default_rng(0)
+    sets = [rng.integers(0, 2**63, 550).astype(np.uint64) for _ in range(50)]
+    one = np.ones(550, np.int64)
+    whole = neardup.dart_signatures(sets, [one] * 50)
+    assert sum(hashed) < 50 * 9000
+    monkeypatch.setattr(neardup, "RUNS", 300)
+    assert all(np.array_equal(neardup.dart_signature(s, one), row) for s, row in zip(sets, whole, strict=True))
+    assert len(np.unique(whole)) == whole.size
+
+
 def plain_classes(docs, least=0.8):
     sets = [neardup.units(b).tolist() for b in neardup.shingle_bags([None if t is None else t.encode() for _, t in docs])]
     root = list(range(len(docs)))
