@@ -251,6 +251,82 @@ def test_language_model_tokens():
     assert len(lm.tokens_of([]).doc) == 0
 
 
+def test_language_model_counts_every_pair(spark):
+    """Of each group's pairs, in the order of their keys, how often training documents have them; over shards that cut between any two."""
+    texts = [f"w{i} w{i % 7} the the w{i % 5} Caf\u00e9" for i in range(60)] + ["", None]
+    docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in enumerate(texts)], "doc_id long, text string, held boolean").repartition(4)
+    groups = 5
+    counted = lm.corpus_counts(docs, "held", "doc_id", "text", groups).cache()
+    sums = {(r.g, r.shard): lm.wide(r.sums) for r in lm.pair_sums(counted).collect()}
+    plain, own = Counter(), {}
+    dealt = {r.doc_id: r.g for r in docs.select("doc_id", lm._group(groups)).collect()}
+    for i, text in enumerate(texts):
+        t = lm.tokens_of([(text or "").encode()])
+        own.setdefault(dealt[i], set()).update(lm.pair_keys(t).tolist())
+        if i % 5:
+            words = ["\n", *(text or "").lower().split(), "\n"]
+            assert len(lm.pair_keys(t)) == len(words) - 1
+            plain.update(lm.pair_keys(t).tolist())
+    assert len(own) > 2 and max(plain.values()) > 40
+    for g, keys in own.items():
+        found = np.concatenate([sums[g, k] for k in range(groups)])
+        assert found.tolist() == [plain[k] for k in sorted(keys)]
+    x = np.array([0, 1, 255, 256, 1 << 40], np.uint64)
+    assert lm.wide(lm.narrow(x)).tolist() == x.tolist() and lm.wide(lm.narrow(x[:0])).tolist() == []
+
+
+def test_language_model_sorts_places(monkeypatch):
+    key = np.random.default_rng(0).integers(0, 50, 400).astype(np.uint64)
+    by_number = lm.sorted_places(key)
+    monkeypatch.setattr(lm, "PLACE_BITS", 8)
+    for (a, b), (x, y) in ((by_number, lm.sorted_places(key)),):
+        assert np.array_equal(a, x) and np.array_equal(b, y) and np.array_equal(key[y], x)
+
+
+def test_language_model_knows_followers(spark):
+    """What the corpus says after a word counts, not only how often it says each word; a document's own words are no evidence for it."""
+    rng = np.random.default_rng(3)
+    own = [[f"w{k}" for k in rng.integers(0, 300, 80)] for _ in range(80)]
+    rows = [(i, " ".join(w), False) for i, w in enumerate(own)]
+    rows += [(100, " ".join(own[0]), True), (101, " ".join(rng.permutation(own[0])), True), (102, " ".join(own[1]), False)]
+    got = {r.doc_id: r.score for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), "held").collect()}
+    once = [got[i] for i in range(2, 80)]
+    assert got[100] > 0.6 * got[101] and got[1] == got[102] > 0.6 * max(once)
+    assert abs(got[101] - np.mean(once)) < 0.1 * abs(got[101])
+
+
+def test_language_model_adapts_as_said_word_by_word():
+    rng = np.random.default_rng(5)
+    doc = np.repeat(np.arange(6), [40, 1, 0, 25, 3, 60])
+    word, p = rng.integers(0, 9, len(doc)), rng.uniform(0.001, 0.2, len(doc))
+    learned = np.array([True, False, True, True, False, False])
+    texts = [word[doc == d].tolist() for d in range(6)]
+    firsts, pairs = {}, Counter()  # of a corpus that has the learned texts, and others
+    for text in [t for t, x in zip(texts, learned, strict=True) if x] + [rng.integers(0, 9, 30).tolist() for _ in range(3)]:
+        for a, b in zip([None, *text[:-1]], text, strict=True) if text else ():
+            firsts[a], pairs[a, b] = firsts.get(a, 0) + 1, pairs[a, b] + 1
+    last = [None if i == 0 or doc[i] != doc[i - 1] else int(word[i - 1]) for i in range(len(doc))]
+    n_first, n_pair = np.array([firsts.get(a, 0) for a in last]), np.array([pairs[a, int(b)] for a, b in zip(last, word, strict=True)])
+    got = lm.adapted(doc, word, p, 6, n_pair, n_first, learned[doc])
+    for d, text in enumerate(texts):
+        total, at = np.zeros(len(lm.CACHES)), np.flatnonzero(doc == d)
+        before = [None, *text[:-1]] if text else []
+        both, gates, run = list(zip(before, text, strict=True)), {}, 0
+        for i, (a, b) in enumerate(both):
+            n = firsts.get(a, 0) - learned[d] * before.count(a)
+            c = pairs[a, b] - learned[d] * both.count((a, b))
+            gate = (min(run, 3), (n > 3) + (n > 100))
+            hits, seen = gates.get(gate, (0, 0))
+            e = lm.MOST * (hits + lm.FIRST * lm.RUNS[gate[0]]) / (seen + lm.FIRST) if n > 0 else 0.0
+            gates[gate], run = (hits + (c > 0), seen + 1), run + 1 if c > 0 else 0
+            same = before[:i].count(a)
+            for k, (x, y) in enumerate(lm.CACHES):
+                x, y = x * (i > 0), y * (same > 0)
+                rest = (1 - x - y) * p[at[i]] + x * text[:i].count(b) / max(i, 1) + y * both[:i].count((a, b)) / max(same, 1)
+                total[k] += math.log10((1 - e) * rest + e * c / max(n, 1))
+        assert math.isclose(got[d], math.log10(np.mean(10**total)), rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_language_model_edges(spark):
     df = spark.createDataFrame([(*r, r[0] == 1) for r in ODD], "doc_id long, text string, held boolean")
     got = lm.score_documents(df, "held").collect()
