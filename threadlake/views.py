@@ -131,6 +131,11 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def extraction_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, content) of the extractions, without the join that gives the rest; a document has one row of labels at most."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for v in values) + "]"
 
